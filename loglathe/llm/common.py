@@ -40,3 +40,13 @@ def n_words(text: Column) -> Column:
 def unit_hash(*parts: Column) -> Column:
     """A 52-bit integer from md5, so that any SQL engine can draw the same numbers."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
+
+
+def small_or_shuffled(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A checkpointed table with narrow rows; hinted for broadcast only if its counted rows are few.
+
+    With more, joins with it shuffle.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

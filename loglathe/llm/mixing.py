@@ -19,22 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_name, unit_hash
+from .common import ensure_checkpoint_dir, free_name, small_or_shuffled, unit_hash
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Rows that a block holds on average, and the most blocks that a source is cut into.
 BLOCK_ROWS, MAX_BLOCKS = 256, 4096
 LEVELS = 3
-#: A side is broadcast only with at most so many rows (under 16 MB); else the join shuffles.
-BROADCAST_ROWS = 100_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed small table, with a broadcast hint if its counted rows allow one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint()
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -105,7 +96,7 @@ def plan(rows: DataFrame, seed: str = "mix", levels: int = LEVELS) -> tuple[Data
     A decision has the full copies, `cut` (of the rows of one more copy the largest hash taken; null
     for none) and the output shards of the copies.
     """
-    sources = _small(source_targets(rows.select("source", "size")))
+    sources = small_or_shuffled(source_targets(rows.select("source", "size")))
     placed = rows.select("source", "size", row_hash(F.col("key"), seed).alias("h"))
     placed = placed.join(sources.select(F.col("source").alias("s"), "rank", "n_rows", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     placed = placed.withColumn("block", _block(F.col("h"), F.col("n_rows"))).drop("s", "source", "n_rows")
@@ -116,7 +107,7 @@ def plan(rows: DataFrame, seed: str = "mix", levels: int = LEVELS) -> tuple[Data
     before = Window.partitionBy("rank").orderBy("perm", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     state = F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "part").otherwise("none")
-    blocks = _small(blocks.withColumn("state", state).select("rank", "block", "epochs", "state", (F.col("rest") - F.col("before")).alias("room")))
+    blocks = small_or_shuffled(blocks.withColumn("state", state).select("rank", "block", "epochs", "state", (F.col("rest") - F.col("before")).alias("room")))
     # the rows of the one block of a source that is taken in part
     inside = Window.partitionBy("rank", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     part = placed.join(blocks.where("state = 'part'"), ["rank", "block"]).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -135,7 +126,7 @@ def plan(rows: DataFrame, seed: str = "mix", levels: int = LEVELS) -> tuple[Data
     dealt = units.join(quotas, (F.col("u_rank") == F.col("rank")) & (F.col("r") > F.col("lo")) & (F.col("r") <= F.col("hi")))
     shards = dealt.groupBy("u_rank", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards")).withColumnRenamed("u_rank", "rank")
     decided = decided.join(shards, ["rank", "block"], "left").select("rank", "block", "epochs", "cut", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
-    return sources, _small(decided)
+    return sources, small_or_shuffled(decided)
 
 
 def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = "mix", levels: int = LEVELS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, rendezvous, sentencepiece_bpe, toxicity
+from . import chat_format, exact_dedup, html_extract, mixing, rendezvous, sentencepiece_bpe, toxicity
 from .common import n_words, table
 
 #: Shards of the sharding query.
@@ -21,6 +21,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of eight with equal weights, its slot there, and its shard of nine."""
     docs = table(spark, sf_dir, "documents")
@@ -73,6 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_html_extract": op2_html_extract,
     "op5_rendezvous": op5_rendezvous,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
