@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, mixing, rendezvous, sentencepiece_bpe, toxicity
+from . import balanced_ann, chat_format, exact_dedup, html_extract, mixing, rendezvous, sentencepiece_bpe, toxicity
 from .common import n_words, table
 
 #: Shards of the sharding query.
@@ -27,6 +27,12 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_balanced_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return balanced_ann.search(rows, F.col("vec_id") % 50 == 0)
+
+
 def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of eight with equal weights, its slot there, and its shard of nine."""
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +86,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_html_extract": op2_html_extract,
+    "op3_balanced_ann": op3_balanced_ann,
     "op5_rendezvous": op5_rendezvous,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
