@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balanced_ann, chat_format, exact_dedup, html_extract, mixing, rendezvous, sentencepiece_bpe, toxicity
+from . import balanced_ann, chat_format, exact_dedup, html_extract, minhash_bayes, mixing, rendezvous, sentencepiece_bpe, toxicity
 from .common import n_words, table
 
 #: Shards of the sharding query.
@@ -41,6 +41,12 @@ def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.with_slots(placed, "doc_id", tie=("text_crc32", "size")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_bayes.cluster(docs).withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in the mixture of all sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_balanced_ann": op3_balanced_ann,
     "op5_rendezvous": op5_rendezvous,
+    "op6_minhash_bayes": op6_minhash_bayes,
     "op7_mixing": op7_mixing,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
