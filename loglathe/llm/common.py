@@ -50,3 +50,23 @@ def small_or_shuffled(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint()
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 1000, how: str = "inner") -> DataFrame:
+    """rows joined with one row a group, where a few groups may hold most of the rows.
+
+    Groups of `hot` rows or more are joined by broadcast if they are few, so that their rows stay
+    where they are; the others by a shuffle on the keys. `how`: inner or left.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    groups = groups.checkpoint()
+    big = groups.where(F.col(size) >= hot)
+    n = big.limit(100_001).count()
+    if not n or n > 100_000:
+        return rows.join(groups, keys, how)
+    mark = free_name(groups, "hot")
+    found = rows.join(F.broadcast(big.withColumn(mark, F.lit(True))), keys, "left")
+    added = [c for c in groups.columns if c not in keys]
+    near = found.where(F.col(mark)).drop(mark)
+    rest = found.where(F.col(mark).isNull()).drop(mark, *added).join(groups.where(F.col(size) < hot), keys, how)
+    return near.unionByName(rest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balanced_ann, chat_format, exact_dedup, html_extract, minhash_bayes, mixing, rendezvous, sentencepiece_bpe, toxicity
+from . import balanced_ann, chat_format, exact_dedup, html_extract, line_dedup, minhash_bayes, mixing, rendezvous, sentencepiece_bpe, toxicity
 from .common import n_words, table
 
 #: Shards of the sharding query.
@@ -33,6 +33,13 @@ def op3_balanced_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_ann.search(rows, F.col("vec_id") % 50 == 0)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents that goes, with the earliest line close to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.duplicate_lines(docs)
+    return gone.select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line_no"), F.col("keep_doc").alias("keep_doc_id"), F.col("keep_line").cast("long").alias("keep_line_no"))
+
+
 def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of eight with equal weights, its slot there, and its shard of nine."""
     docs = table(spark, sf_dir, "documents")
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_html_extract": op2_html_extract,
     "op3_balanced_ann": op3_balanced_ann,
+    "op4_line_dedup": op4_line_dedup,
     "op5_rendezvous": op5_rendezvous,
     "op6_minhash_bayes": op6_minhash_bayes,
     "op7_mixing": op7_mixing,
@@ -109,6 +117,29 @@ def _bid(s: int) -> str:
 
 
 SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+WITH l0 AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL
+), l AS (
+    SELECT doc_id, line, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM l0
+), x AS (
+    SELECT w, array_to_string(w, ' ') AS s, min({{'d': doc_id, 'l': line}}) AS p FROM l WHERE len(w) > 0 GROUP BY w
+), v0 AS (
+    SELECT s, p, len(w) AS n, w, unnest(range(1, len(w) + 1)) AS i FROM x WHERE len(w) >= {line_dedup.EDIT_WORDS}
+), v AS (
+    SELECT s, p, i, md5(array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ')) AS k FROM v0
+), f AS (
+    SELECT s, p, md5(s) AS k FROM x WHERE len(w) >= {line_dedup.EDIT_WORDS}
+), near AS (
+    SELECT s, min(p) OVER (PARTITION BY k, i) AS q FROM v
+    UNION ALL SELECT v.s, f.p FROM v JOIN f USING (k)
+    UNION ALL SELECT f.s, v.p FROM v JOIN f USING (k)
+), m AS (
+    SELECT s, min(q) AS q FROM near GROUP BY s
+)
+SELECT doc_id, line::BIGINT AS line_no, least(p, coalesce(q, p)).d AS keep_doc_id, least(p, coalesce(q, p)).l::BIGINT AS keep_line_no
+FROM l JOIN x USING (w) LEFT JOIN m USING (s)
+WHERE least(p, coalesce(q, p)) < {{'d': doc_id, 'l': line}}""",
     "op5_rendezvous": f"""
 WITH RECURSIVE steps(i, k, v) AS (
     SELECT i, 0, i::UBIGINT FROM range(256) t(i)
