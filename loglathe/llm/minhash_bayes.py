@@ -8,9 +8,10 @@ verified on their full sets. No bucket's pairs are all listed:
 
 1. each class is tested with one pivot of its buckets, the one that shares most bands with others;
 2. where a bucket still holds several components, the classes outside its largest one are compared in
-   blocks with all of it, and the best surviving pair of each two components is verified;
-3. the same again for what is still apart, now with all surviving pairs. So no candidate link between
-   components is left untested.
+   blocks with all of it; a forest of the surviving pairs connects families of classes;
+3. in each family the classes outside its largest component meet all others, in blocks that carry the
+   full sets. Whatever pair of two components passes the signatures is verified there unless the two
+   have been joined already, so no link between components is missed.
 
 Components are found by distributed stars. Defined cases: texts without words have empty sets, are
 linked with nothing and stay; rows with a null id stay and link nothing; rows that share an id share
@@ -170,6 +171,14 @@ def _prune_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long, matches int")
 
 
+def _linked(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets reach the threshold exactly."""
+    if 100 * min(len(p), len(q)) < PERCENT * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets, as edges (u, v)."""
 
@@ -177,10 +186,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for x in batches:
             ok = np.zeros(len(x), bool)
             for i, (p, q) in enumerate(zip(x["sa"], x["sb"], strict=True)):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if 100 * min(len(p), len(q)) >= PERCENT * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+                ok[i] = _linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
             yield pd.DataFrame({"u": x["a"].to_numpy()[ok], "v": x["b"].to_numpy()[ok]})
 
     joined = pairs.select("a", "b").distinct().join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -200,77 +206,138 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
     return rows.join(small_or_shuffled(ids, BROADCAST_IDS), "id", "left_semi").mapInPandas(run, "id long, shingles binary")
 
 
-def _across(buckets: DataFrame, comps: DataFrame, sigs: DataFrame, every: bool) -> DataFrame:
-    """Surviving pairs (a, b) between different components that share a bucket.
+class _Forest(dict):
+    """Union-find over hashable nodes."""
+
+    def top(self, x):
+        while (y := self.get(x, x)) != x:
+            z = self.get(y, y)
+            self[x] = z
+            x = z
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
 
-    buckets: (bucket, id). every: all of them; else the best one of each two components.
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, id, comp, ...) of groups that hold several components, dealt into blocks (group, t, q).
+
+    Every row is a target in one block of targets, and those outside the group's largest component are
+    queries in one block of queries; all blocks of the two kinds meet.
+    """
+    by_comp = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = by_comp.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    main = main.select(group, F.col("x.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nt"), F.ceil((F.col("all") - F.col("x.n")) / BLOCK).cast("int").alias("nq"))
+    rows = rows.join(main, group)
+    own = [c for c in rows.columns if c not in ("main", "nt", "nq")]
+    spot = F.xxhash64("id")
+    as_t = rows.select(*own, F.lit(False).alias("query"), F.pmod(spot, "nt").cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
+    as_q = rows.where("comp <> main").select(*own, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), F.pmod(spot, "nq").cast("int").alias("q"))
+    return as_t.unionByName(as_q).repartition(group, "t", "q").sortWithinPartitions(group, "t", "q")
+
+
+def _by_block(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole blocks from a partition that is sorted by the keys."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[keys].to_numpy()
+        same = (k == k[-1]).all(axis=1)
+        start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if start or (held and (held[-1][keys].iloc[-1].to_numpy() != k[-1]).any()):
+            yield pd.concat([*held, batch.iloc[:start]])
+            held = []
+        held.append(batch.iloc[start:])
+    if held:
+        yield pd.concat(held)
+
+
+def _families(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all ids with a surviving pair between components in some bucket.
+
+    A block gives a forest of its surviving pairs, so no more edges than it has rows.
     """
     rows = buckets.join(comps, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rows = rows.join(open_, "bucket")
-    by_comp = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"))
-    main = main.select("bucket", F.col("x.comp").alias("main"), "all", (F.col("all") - F.col("x.n")).alias("rest"))
-    # blocks: every member is a target in one block of targets, and those outside the largest component
-    # are queries in one block of queries; all blocks of the two kinds meet
-    main = main.select("bucket", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("nt"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("nq"))
-    rows = rows.join(main, "bucket").join(sigs.select("id", "sig"), "id")
-    as_t = rows.select("bucket", "id", "comp", "sig", F.lit(False).alias("query"), F.pmod(F.xxhash64("id"), "nt").cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
-    as_q = rows.where("comp <> main").select("bucket", "id", "comp", "sig", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("q"))
-    blocks = as_t.unionByName(as_q).repartition("bucket", "t", "q").sortWithinPartitions("bucket", "t", "q")
+    blocks = _dealt(rows.join(sigs.select("id", "sig"), "id"), "bucket")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need = least_matches()
-        held: list[pd.DataFrame] = []
-
-        def pairs(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            """Of whole blocks, in order."""
-            if not len(x):
-                return
-            k = x[["bucket", "t", "q"]].to_numpy()
+        keys = ["bucket", "t", "q"]
+        for x in _by_block(batches, keys):
+            k = x[keys].to_numpy()
             starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
             ends = np.r_[starts[1:], len(x)]
             ids, comp, query, sig = x["id"].to_numpy(), x["comp"].to_numpy(), x["query"].to_numpy(bool), _matrix(x["sig"])
-            left: list[np.ndarray] = []
-            right: list[np.ndarray] = []
-            n = 0
+            out: list[tuple[int, int]] = []
+            left: list[tuple[int, int, int]] = []
+
+            def settle() -> None:
+                """The small blocks' pairs, all at once."""
+                if left:
+                    z = np.array(left)
+                    at, _ = survivors(sig[z[:, 1]], sig[z[:, 2]], need)
+                    tree = _Forest()
+                    out.extend((int(ids[i]), int(ids[j])) for n, i, j in z[at].tolist() if tree.join((n, int(ids[i])), (n, int(ids[j]))))
+                    left.clear()
+
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s <= 16:
+                    left += [(s, i, j) for i in range(s, e) if query[i] for j in range(s, e) if not query[j] and comp[i] != comp[j]]
+                    if len(left) > 100_000:
+                        settle()
+                    continue
+                qs, ts = np.flatnonzero(query[s:e]) + s, np.flatnonzero(~query[s:e]) + s
+                tree = _Forest()
+                for i in qs.tolist():
+                    me = tree.top(int(ids[i]))
+                    apart = np.array([comp[j] != comp[i] and tree.top(int(ids[j])) != me for j in ts.tolist()])
+                    js = ts[apart]
+                    at, _ = survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], need)
+                    out.extend((int(ids[i]), int(ids[j])) for j in js[at].tolist() if tree.join(int(ids[i]), int(ids[j])))
+            settle()
+            yield pd.DataFrame(out, columns=["u", "v"])
+
+    return blocks.mapInPandas(run, "u long, v long")
 
-            def settle() -> pd.DataFrame:
-                a, b = np.concatenate(left), np.concatenate(right)
-                at, got = survivors(sig[a], sig[b], need)
-                return pd.DataFrame({"a": ids[a[at]], "b": ids[b[at]], "ca": comp[a[at]], "cb": comp[b[at]], "matches": got})
 
-            for s, e in zip(starts, ends, strict=True):
+def _links_across(families: DataFrame, comps: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (u, v) between components of one family, at most one for each two that they join.
+
+    Each class outside the family's largest component meets all of the family, in blocks that carry the
+    full sets; pairs pass the signatures first and are verified where they meet.
+    """
+    rows = families.join(comps.withColumnRenamed("component", "comp"), "node", "left").select("family", F.col("node").alias("id"), F.coalesce("comp", "node").alias("comp"))
+    blocks = _dealt(rows.join(sigs.select("id", "sig"), "id").join(sets, "id"), "family")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        need = least_matches()
+        keys = ["family", "t", "q"]
+        for x in _by_block(batches, keys):
+            k = x[keys].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
+            ends = np.r_[starts[1:], len(x)]
+            ids, comp, query, sig = x["id"].to_numpy(), x["comp"].to_numpy(), x["query"].to_numpy(bool), _matrix(x["sig"])
+            sets_ = [np.frombuffer(b, np.uint64) for b in x["shingles"]]
+            out: list[tuple[int, int]] = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 qs, ts = np.flatnonzero(query[s:e]) + s, np.flatnonzero(~query[s:e]) + s
-                for i in range(0, len(qs), 256):
-                    a, b = np.repeat(qs[i : i + 256], len(ts)), np.tile(ts, len(qs[i : i + 256]))
-                    ok = comp[a] != comp[b]
-                    left.append(a[ok])
-                    right.append(b[ok])
-                    n += int(ok.sum())
-                    if n > 200_000:
-                        yield settle()
-                        left, right, n = [], [], 0
-            if n:
-                yield settle()
+                tree = _Forest()
+                for i in qs.tolist():
+                    me = tree.top(int(comp[i]))
+                    js = ts[np.array([tree.top(int(comp[j])) != me for j in ts.tolist()], bool)]
+                    at, got = survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], need)
+                    for j in js[at[np.argsort(-got, kind="stable")]].tolist():
+                        if tree.top(int(comp[i])) != tree.top(int(comp[j])) and _linked(sets_[i], sets_[j]):
+                            tree.join(int(comp[i]), int(comp[j]))
+                            out.append((int(ids[i]), int(ids[j])))
+            yield pd.DataFrame(out, columns=["u", "v"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            x = pd.concat(held) if len(held) > 1 else batch
-            last = x[["bucket", "t", "q"]].to_numpy()[-1]
-            open_rows = (x[["bucket", "t", "q"]].to_numpy() == last).all(axis=1)
-            yield from pairs(x[~open_rows])
-            held = [x[open_rows]]
-        if held:
-            yield from pairs(held[0])
-
-    found = blocks.mapInPandas(run, "a long, b long, ca long, cb long, matches int")
-    if every:
-        return found.select("a", "b")
-    best = found.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("matches", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b")
+    return blocks.mapInPandas(run, "u long, v long")
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,11 +361,12 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     best = close.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
     edges = _verify(best, sets).checkpoint()
     comps = components(edges)
-    # 2 and 3: what shares a bucket and is still apart
-    for every in (False, True):
-        more = _verify(_across(buckets.select("bucket", "id"), comps, sigs, every), sets).checkpoint()
-        edges = edges.union(more)
-        comps = components(edges)
+    # 2: ids that have a surviving partner in another component, and what they connect to
+    bonds = _families(buckets.select("bucket", "id"), comps, sigs).checkpoint()
+    families = components(bonds).withColumnRenamed("component", "family")
+    # 3: all of a family's components against each other
+    edges = edges.union(_links_across(families, comps, sigs, sets).checkpoint())
+    comps = components(edges)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("set_key"), F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
