@@ -36,6 +36,8 @@ REPLICAS, EPSILON = 2, 0.1
 #: A query reads lists with distances up to (1 + RATIO) of the nearest, at most MAX_WALK.
 RATIO, MAX_WALK = 0.27, 512
 DEGREE = 24
+#: Queries whose nearest a task keeps before it gives them out.
+MAX_HELD = 100_000
 
 
 @dataclass
@@ -158,9 +160,20 @@ def valid(vector: Column) -> Column:
     return F.coalesce(ok & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _nearest(a: np.ndarray, ids: np.ndarray, norms: np.ndarray, v: np.ndarray, own: int, fast: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """(-score, id) of the k nearest of one block, given cosines to v's length that may be off by rounding."""
+    f = np.where(ids == own, -np.inf, fast)
+    at = np.flatnonzero(f >= (np.partition(f, -k)[-k] if len(f) > k else -np.inf) - 1e-9 * np.abs(f).max(where=np.isfinite(f), initial=1.0))
+    at = at[ids[at] != own]
+    # the same operations in the same order for every pair, so that ties are ties
+    exact = (a[at] * v).sum(1) / (norms[at] * np.sqrt((v * v).sum()))
+    order = np.lexsort((ids[at], -exact))[:k]
+    return [(-float(exact[j]), int(ids[at[j]])) for j in order]
+
+
 def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, ratio: float = RATIO, most: int = MAX_WALK) -> DataFrame:
     """(query_id, rank, <key>, score): the k nearest found of each query row among all other rows."""
-    spark = df.sparkSession
+    spark, k_ = df.sparkSession, k
     ensure_checkpoint_dir(spark)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & valid(F.col("v")))
@@ -192,29 +205,51 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     placed = rows.mapInPandas(place, f"list int, id long, v {kind}, q boolean").checkpoint()  # posting lists and their queries, written once
     sizes = placed.where(~F.col("q")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(F.broadcast(sizes), "list")  # at most MAX_CENTROIDS rows
-    postings = placed.where(~F.col("q")).select("list", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "v").toDF("p_list", "p_block", "p_id", "p_v")
-    queries = placed.where("q").select(F.col("list").alias("q_list"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            a, ids = np.stack(left["p_v"].to_numpy()).astype(np.float64), left["p_id"].to_numpy()
-            norms = np.sqrt((a * a).sum(1))
-            for start in range(0, len(right), 256):
-                part = right.iloc[start : start + 256]
-                b = np.stack(part["q_v"].to_numpy()).astype(np.float64)
-                fast = (b @ a.T) / norms
-                for i, q in enumerate(part["q_id"].to_numpy()):
-                    f = np.where(ids == q, -np.inf, fast[i])
-                    at = np.flatnonzero(f >= (np.partition(f, -k)[-k] if len(f) > k else -np.inf) - 1e-9 * abs(f).max(where=np.isfinite(f), initial=1.0))
-                    at = at[ids[at] != q]
-                    # the same operations in the same order for every pair, so that ties are ties
-                    exact = (a[at] * b[i]).sum(1) / (norms[at] * np.sqrt((b[i] * b[i]).sum()))
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    out += [(int(q), int(ids[at[j]]), float(exact[j])) for j in best]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    found = postings.groupBy("p_list", "p_block").cogroup(queries.groupBy("q_list", "q_block")).applyInPandas(scan, "query_id long, id long, score double")
-    # each list gives at most k rows for a query
+    postings = placed.where(~F.col("q")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    queries = placed.where("q").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = postings.unionByName(queries).select("list", "block", "q", "id", "v").repartition("list", "block").sortWithinPartitions("list", "block", "q")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Block by block, its vectors before its queries; a query's nearest so far are kept from block to block."""
+        key, held, a, ids = None, [], None, None
+        best: dict[int, list[tuple[float, int]]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(q, i, -s) for q, x in best.items() for s, i in x], columns=["query_id", "id", "score"])
+            best.clear()
+            return out
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch[["list", "block", "q"]].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
+            for s, e in zip(starts, [*starts[1:], len(batch)], strict=True):
+                part = batch.iloc[s:e]
+                if key is None or (k[s, :2] != key).any():
+                    key, held, a = k[s, :2], [], None
+                if not k[s, 2]:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if a is None:
+                    every = pd.concat(held)
+                    a, ids = np.stack(every["v"].to_numpy()).astype(np.float64), every["id"].to_numpy()
+                    norms = np.sqrt((a * a).sum(1))
+                for start in range(0, len(part), 256):
+                    some = part.iloc[start : start + 256]
+                    b = np.stack(some["v"].to_numpy()).astype(np.float64)
+                    fast = (b @ a.T) / norms
+                    for i, q in enumerate(some["id"].tolist()):
+                        found = _nearest(a, ids, norms, b[i], q, fast[i], k_)
+                        old = best.get(q)
+                        best[q] = found if old is None else sorted(set(old + found))[:k_]
+                if len(best) > MAX_HELD:
+                    yield flush()
+        yield flush()
+
+    found = dealt.mapInPandas(scan, "query_id long, id long, score double")
+    # each partition gives a query's k nearest of all its blocks
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("x"))
     return best.select("query_id", F.posexplode("x").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias(key), (-F.col("x.s")).alias("score"))
