@@ -136,25 +136,34 @@ def _frame(k: list[int], i: list[int], h: list[int], doc: list[int], line: list[
     return pd.DataFrame({"k": np.array(k, np.uint64).view(np.int64), "i": np.array(i, np.int32), "h": np.array(h, np.uint64).view(np.int64), "doc": np.array(doc, np.int64), "line": np.array(line, np.int32)})
 
 
-def _links(rows: pd.DataFrame) -> list[tuple[int, int, int, int]]:
-    """(doc, line) and the (doc, line) of an earlier close line, for the rows of one key."""
-    rows = rows.sort_values(["doc", "line"], kind="stable").drop_duplicates(["i", "h"])
+def _links(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(doc, line) and the (doc, line) of an earlier close line, for the rows (doc, line, i, h) of one key."""
     out = []
-    full = rows[rows["i"] == -1]
-    parts = rows[rows["i"] >= 0]
-    for _, same in parts.groupby("i", sort=False):
-        if len(same) > 1:
-            x = same[["doc", "line"]].to_numpy()
-            out += [(int(d), int(n), int(x[0, 0]), int(x[0, 1])) for d, n in x[1:]]
-    for f in full.itertuples():
-        first = None
-        for p in parts[parts["h"] != f.h].itertuples():
-            if (f.doc, f.line) < (p.doc, p.line):
-                out.append((p.doc, p.line, f.doc, f.line))
-            elif first is None:
-                first = p
-        if first is not None:
-            out.append((f.doc, f.line, first.doc, first.line))
+    seen: set[tuple[int, int]] = set()
+    first: dict[int, tuple[int, int]] = {}
+    full, parts = [], []
+    for doc, line, i, h in sorted(rows):
+        if (i, h) in seen:
+            continue
+        seen.add((i, h))
+        if i < 0:
+            full.append((doc, line, h))
+            continue
+        parts.append((doc, line, h))
+        if i in first:
+            out.append((doc, line, *first[i]))
+        else:
+            first[i] = (doc, line)
+    for fd, fl, fh in full:
+        early = None
+        for d, n, h in parts:
+            if h != fh:
+                if (fd, fl) < (d, n):
+                    out.append((d, n, fd, fl))
+                elif early is None:
+                    early = (d, n)
+        if early:
+            out.append((fd, fl, *early))
     return out
 
 
@@ -171,8 +180,9 @@ def _meet(rows: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                 ends = np.r_[starts[1:], len(k)]
                 mixed = np.minimum.reduceat(h, starts) != np.maximum.reduceat(h, starts)
-                for s, e in zip(starts[mixed], ends[mixed], strict=True):
-                    out += _links(x.iloc[s:e])
+                cols = [x[c].to_numpy() for c in ("doc", "line", "i", "h")]
+                for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                    out += _links(list(zip(*(c[s:e].tolist() for c in cols), strict=True)))
             return pd.DataFrame(out, columns=["doc", "line", "q_doc", "q_line"])
 
         for batch in batches:
@@ -181,8 +191,10 @@ def _meet(rows: DataFrame) -> DataFrame:
             x = batch if held is None else pd.concat([held, batch], ignore_index=True)
             last = x["k"].to_numpy() == x["k"].iloc[-1]
             yield settle(x[~last])
-            # what waits is no more than the distinct lines of one key
-            held = x[last].sort_values(["doc", "line"], kind="stable").drop_duplicates(["i", "h"])
+            # what waits is hardly more than the distinct lines of one key
+            held = x[last]
+            if len(held) > 1000:
+                held = held.sort_values(["doc", "line"], kind="stable").drop_duplicates(["i", "h"])
         if held is not None:
             yield settle(held)
 
