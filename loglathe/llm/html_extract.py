@@ -8,7 +8,7 @@ texts over the host's pages, so text that every page repeats counts 0 and text o
 branch's composite importance is the mean over the nodes and texts below it. Presentation also counts
 by itself: navigation, forms, scripts and the like have importance 0, the content of `article` and
 `main` has importance 1, and beside them the rest of a page has 0. `extract` removes from every page
-the branches with low importance and joins what is left.
+the branches that have low importance with all below them and joins what is left.
 
 Defined cases: null and empty pages give empty texts; pages without a host share one tree; a host
 with fewer than `MIN_PAGES` different pages is judged by presentation alone; copies of a page count
@@ -191,13 +191,8 @@ def main_text(nodes: list[Node], blocks: list[tuple[Node, str]], low: frozenset[
     for n, t in blocks:
         if n.noise or (inside and not n.content):
             continue
-        if low and not n.content:
-            x: Node | None = n
-            while x is not None and x.key not in low:
-                x = x.up
-            if x is not None:
-                continue
-        out.append(t)
+        if n.content or n.key not in low:
+            out.append(t)
     return " ".join(out)
 
 
@@ -221,12 +216,12 @@ def style_tree(pages: DataFrame, host: str, page: str) -> DataFrame:
                 nodes, blocks = parser.parse(text or "")
                 sig = xxhash.xxh3_64_intdigest(text or "") >> 1
                 site = xxhash.xxh3_64_intdigest(h) >> 1
-                for n in nodes:
+                for n in nodes[1:]:
                     if not n.noise and n.children:
                         up = [x.key for x in _path(n)]
                         out.append((site, n.key, up, True, xxhash.xxh3_64_intdigest(repr(n.children)) >> 1, sig))
                 for n, t in blocks:
-                    if not n.noise:
+                    if not n.noise and n.up is not None:
                         up = [x.key for x in _path(n)]
                         out.append((site, n.key, up, False, xxhash.xxh3_64_intdigest(t) >> 1, sig))
                 if len(out) > 50_000:
