@@ -48,7 +48,7 @@ class _WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(w)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = h
         return h

@@ -29,9 +29,9 @@ from .common import free_name
 
 SPACE = "▁"
 #: Entries of each of the two generations of the memos of units and of pairs.
-MEMO = 400_000
+MEMO = 150_000
 #: Characters of text that one Arrow batch of results comes from, at least one row.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 
 def default_model() -> str:
