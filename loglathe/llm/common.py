@@ -52,11 +52,11 @@ def small_or_shuffled(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 1000, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], hot: int = 1000, how: str = "inner") -> DataFrame:
     """rows joined with one row a group, where a few groups may hold most of the rows.
 
-    Groups of `hot` rows or more are joined by broadcast if they are few, so that their rows stay
-    where they are; the others by a shuffle on the keys. `how`: inner or left.
+    Groups of `hot` rows or more are joined by broadcast if they are few; in the shuffle for the others
+    their rows are spread by a hash of the columns `spread`. `how`: inner or left.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     groups = groups.checkpoint()
@@ -64,9 +64,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     n = big.limit(100_001).count()
     if not n or n > 100_000:
         return rows.join(groups, keys, how)
-    mark = free_name(groups, "hot")
-    found = rows.join(F.broadcast(big.withColumn(mark, F.lit(True))), keys, "left")
     added = [c for c in groups.columns if c not in keys]
-    near = found.where(F.col(mark)).drop(mark)
-    rest = found.where(F.col(mark).isNull()).drop(mark, *added).join(groups.where(F.col(size) < hot), keys, how)
-    return near.unionByName(rest)
+    names = {c: f"__group_{i}" for i, c in enumerate([*keys, *added])}
+    early = {c: f"__hot_{i}" for i, c in enumerate(added)}
+    seen = F.col("__hot").isNotNull()
+    found = rows.join(F.broadcast(big.select(*keys, *(F.col(c).alias(early[c]) for c in added), F.lit(True).alias("__hot"))), keys, "left")
+    kind = dict(rows.dtypes)[keys[0]]
+    other = F.xxhash64(*spread)
+    other = F.unhex(F.hex(other)) if kind == "binary" else other.cast(kind)
+    found = found.withColumn("__key", F.when(seen, other).otherwise(F.col(keys[0])))
+    rest = groups.where(F.col(size) < hot).select(*(F.col(c).alias(x) for c, x in names.items()), F.lit(True).alias("__rest"))
+    on = F.col("__key") == F.col(names[keys[0]])
+    for k in keys[1:]:
+        on &= F.col(k) == F.col(names[k])
+    found = found.join(rest, on, "left")
+    if how == "inner":
+        found = found.where(seen | F.col("__rest"))
+    return found.select(*rows.columns, *(F.when(seen, F.col(early[c])).otherwise(F.col(names[c])).alias(c) for c in added))

@@ -238,7 +238,7 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     near = _verified(docs, links).select(F.struct("doc", "line").alias("p"), F.struct(F.col("q_doc").alias("doc"), F.col("q_line").alias("line")).alias("q"))
     kept = first.select("h", "g", "p", "n").join(near, "p", "left")
     kept = kept.withColumn("keep", F.least("p", F.coalesce("q", "p"))).where((F.col("n") > 1) | (F.col("keep") < F.col("p"))).select("h", "g", "n", "keep")
-    found = join_groups(lines.select("doc", "line", "h", "g"), kept, ["h", "g"], "n")
+    found = join_groups(lines.select("doc", "line", "h", "g"), kept, ["h", "g"], "n", ["doc", "line"])
     return found.where(F.col("keep") < F.struct("doc", "line")).select("doc", "line", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
 
 
