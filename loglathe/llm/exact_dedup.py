@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_name
+from .common import ensure_checkpoint_dir, free_name, join_groups
 
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32768
@@ -82,5 +82,5 @@ def mark_duplicates(df: DataFrame, key: Column, order: str, max_bits: int = MAX_
     alone = df.where(~F.col(maybe)).withColumns({"keep_id": F.col(order), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     again = df.where(F.col(maybe))
     groups = again.groupBy("text_sha256").agg(F.max(order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = again.join(groups, "text_sha256").withColumn("kept", F.col(order).eqNullSafe(F.col("keep_id")))
+    joined = join_groups(again, groups, ["text_sha256"], "group_size", [order]).withColumn("kept", F.col(order).eqNullSafe(F.col("keep_id")))
     return alone.unionByName(joined).drop(h, maybe)
