@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_name, small_or_shuffled
+from .common import ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -345,8 +345,8 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ensure_checkpoint_dir(docs.sparkSession)
     feats = features(docs, key, text).checkpoint()
     real = feats.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    classes = real.groupBy("set_key").agg(F.min("id").alias("rep"))
-    own = real.join(classes.withColumnRenamed("set_key", "k"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("k"))).dropDuplicates(["id"])
+    classes = real.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
+    own = real.join(classes.select(F.col("set_key").alias("k"), "rep"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("k"))).dropDuplicates(["id"])
     bands = own.select("id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = bands.join(shared, "bucket").select("bucket", "id", "n").checkpoint()
@@ -367,8 +367,8 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # 3: all of a family's components against each other
     edges = edges.union(_links_across(families, comps, sigs, sets).checkpoint())
     comps = components(edges)
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("set_key"), F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", "n_rows", F.coalesce("component", "rep").alias("component_id"))
+    out = join_groups(feats.select("id", "n_shingles", "set_key"), named, ["set_key"], "n_rows", ["id"], how="left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
