@@ -19,13 +19,17 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r[0], int(r[1])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of the edges (u, v), longs; component is the least node reachable."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) of every node of the edges (u, v), longs; component is the least node reachable.
+
+    With `rounds`, only so many rounds: nodes with one component are connected, but not all connected
+    nodes share one.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    mark = _mark(e)
-    for _ in range(MAX_ROUNDS):
-        if not mark[0]:
+    mark = None if rounds else _mark(e)
+    for _ in range(rounds or MAX_ROUNDS):
+        if mark and not mark[0]:
             break
         # large star: each node's larger neighbours go to its least neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,10 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         e2 = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e2 = e2.where("u <> v").distinct().checkpoint()
-        mark, before = _mark(e2), mark
         e = e2
-        if mark == before:
-            break
+        if mark:
+            mark, before = _mark(e2), mark
+            if mark == before:
+                break
     else:
-        raise RuntimeError("components did not settle")
+        if not rounds:
+            raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

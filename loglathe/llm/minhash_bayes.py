@@ -360,7 +360,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     close = _prune_pairs(pairs, sigs)
     best = close.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
     edges = _verify(best, sets).checkpoint()
-    comps = components(edges)
+    comps = components(edges, rounds=1)  # what is connected already need not be compared
     # 2: ids that have a surviving partner in another component, and what they connect to
     bonds = _families(buckets.select("bucket", "id"), comps, sigs).checkpoint()
     families = components(bonds).withColumnRenamed("component", "family")
