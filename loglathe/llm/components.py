@@ -47,4 +47,8 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     else:
         if not rounds:
             raise RuntimeError("components did not settle")
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    lower = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    least = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    if rounds:  # a node may still be in the middle
+        return lower.union(least).groupBy("node").agg(F.min("component").alias("component"))
+    return lower.union(least)
