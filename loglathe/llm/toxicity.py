@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 MAX_TRAIN = 12_000
 #: Learned entries at most; more would not help on labels of this number.
 MAX_ENTRIES = 4_000
+#: Patterns of toxic rows that are counted in the other rows, those in most families.
+MAX_CANDIDATES = 100_000
 #: Beginnings of words, in letters.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: An entry needs so many toxic families of rows, such a share of all toxic ones, and so high a z-score
@@ -199,29 +201,39 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = picked.orderBy(F.xxhash64("k"), "k", "y").limit(max_train)
     train = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("t", "y")  # at most max_train rows
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for t, y in zip(batch["t"], batch["y"], strict=True):
-                found, family = _features(t or "")
-                rows += [(f, family, y) for f in found]
-                rows.append(("", family, y))  # the row itself
-                if len(rows) > 200_000:
-                    yield pd.DataFrame(rows, columns=["f", "family", "y"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["f", "family", "y"])
-
-    seen = train.mapInPandas(features, "f string, family long, y int").groupBy("f", "family").agg(F.max("y").alias("y"))
-    counts = seen.groupBy("f").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    total = counts.where("f = ''").first()
-    n_bad, n_good = (total["bad"], total["good"]) if total else (0, 0)
+    def families(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+        """(f, n): families of rows that hold a pattern, of those in `only`; '' stands for all rows."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out: list[tuple[str, int]] = []
+                for t in batch["t"]:
+                    found, family = _features(t or "")
+                    out += [(f, family) for f in (found if only is None else found & only)]
+                    out.append(("", family))  # the row itself
+                    if len(out) > 200_000:
+                        yield pd.DataFrame(out, columns=["f", "family"])
+                        out = []
+                yield pd.DataFrame(out, columns=["f", "family"])
+
+        return rows.mapInPandas(run, "f string, family long").distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+
+    bad = families(train.where("y = 1").select("t"), None).where(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()
+    n_bad = next((r["n"] for r in bad if r["f"] == ""), 0)
+    least = max(MIN_SUPPORT, SUPPORT_SHARE * n_bad)
+    candidates = {r["f"]: r["n"] for r in bad if r["f"] and r["n"] >= least}
+    good = {r["f"]: r["n"] for r in families(train.where("y = 0").select("t"), frozenset(candidates)).collect()}  # no more than the candidates
+    n_good = good.get("", 0)
     if not n_bad or not n_good:
         return Lexicon(default_entries(), EXCEPTIONS)
-    odds = F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n_good + 1.0))
-    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    chosen = counts.where(F.col("f") != "").where(F.col("bad") >= max(MIN_SUPPORT, SUPPORT_SHARE * n_bad)).withColumn("w", odds).withColumn("z", z).where((F.col("z") >= MIN_Z) & (F.col("bad") / (F.col("bad") + F.col("good")) >= MIN_SHARE))
-    rows = chosen.orderBy(F.desc("z"), "f").limit(MAX_ENTRIES).collect()
-    entries = closed({r["f"]: (r["w"], r["bad"]) for r in rows})
+    found: list[tuple[float, str, float, int]] = []
+    for f, x in candidates.items():
+        y = good.get(f, 0)
+        w = math.log((x + 0.5) / (n_bad + 1)) - math.log((y + 0.5) / (n_good + 1))
+        z = w / math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
+        if z >= MIN_Z and x >= MIN_SHARE * (x + y):
+            found.append((-z, f, w, x))
+    entries = closed({f: (w, x) for _, f, w, x in sorted(found)[:MAX_ENTRIES]})
     entries = default_entries(max(entries.values(), default=3.0)) | entries
     fixed = Lexicon(entries, EXCEPTIONS)
 
