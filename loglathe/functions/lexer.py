@@ -115,18 +115,22 @@ def _token(cls: Column, param: Column, text: Column) -> Column:
     return F.struct(cls.cast("string").alias("cls"), param.cast("string").alias("param"), text.cast("string").alias("text"))
 
 
-def _expand(x: Column) -> Column:
-    """The tokens of one lexeme."""
-    cls = _class(x)
+def _expand(t: Column) -> Column:
+    """The tokens of one lexeme with its class."""
+    cls, x = t["cls"], t["text"]
     at = F.regexp_replace(x, "(?<=[0-9])-.*", "")
     kind = F.when(cls == "floatrange", "float").otherwise("int")
     parts = F.array(_token(kind, F.lit(None), at), _token(F.lit("char"), F.lit("-"), F.lit("-")), _token(kind, F.lit(None), F.substr(x, F.length(at) + 2)))
-    return F.when(cls.isin("floatrange", "intrange"), parts).otherwise(F.array(_token(cls, F.when(cls.isin("char"), x), x)))
+    return F.when(cls.isin("floatrange", "intrange"), parts).otherwise(F.array(_token(cls, F.when(cls == "char", x), x)))
 
 
 def tokenize(line: Column) -> Column:
-    """array<struct<cls,param,text>> of a line. param is the character of a char token, else null."""
-    return F.flatten(F.transform(lexemes(line), _expand))
+    """array<struct<cls,param,text>> of a line. param is the character of a char token, else null.
+
+    The class is found once for each lexeme; what uses it reads the field.
+    """
+    classed = F.transform(lexemes(line), lambda x: F.struct(_class(x).alias("cls"), x.alias("text")))
+    return F.flatten(F.transform(classed, _expand))
 
 
 def token_id(token: Column, meta_by_delimiter: bool = False) -> Column:
