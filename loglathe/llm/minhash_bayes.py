@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
+from .common import arrow_rows, ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -38,6 +38,8 @@ BATCH, MISS = 16, 1e-5
 BLOCK = 512
 #: Ids that are broadcast to pick candidates' texts, at most (8 MB); with more the texts shuffle.
 BROADCAST_IDS = 500_000
+#: Rows with full sets that a Python worker gets at once.
+WIDE_ROWS = 1000
 #: Shingles that are permuted at once.
 _CHUNK = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -352,20 +354,23 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     buckets = bands.join(shared, "bucket").select("bucket", "id", "n").checkpoint()
     ids = buckets.groupBy("id").agg(F.sum("n").alias("degree")).checkpoint()
     sigs = own.join(ids, "id", "left_semi").select("id", "sig").checkpoint()
-    sets = _sets(docs, key, text, ids.select("id")).dropDuplicates(["id"]).checkpoint()
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        sets = _sets(docs, key, text, ids.select("id")).dropDuplicates(["id"]).checkpoint()
     # 1: one pivot for each class
     ranked = buckets.join(ids, "id")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("o"))).alias("p")).select("bucket", (-F.col("p.o")).alias("b"))
     pairs = ranked.join(pivots, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     close = _prune_pairs(pairs, sigs)
     best = close.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-    edges = _verify(best, sets).checkpoint()
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        edges = _verify(best, sets).checkpoint()
     comps = components(edges, rounds=1)  # what is connected already need not be compared
     # 2: ids that have a surviving partner in another component, and what they connect to
     bonds = _families(buckets.select("bucket", "id"), comps, sigs).checkpoint()
     families = components(bonds).withColumnRenamed("component", "family")
     # 3: all of a family's components against each other
-    edges = edges.union(_links_across(families, comps, sigs, sets).checkpoint())
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        edges = edges.union(_links_across(families, comps, sigs, sets).checkpoint())
     comps = components(edges)
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", "n_rows", F.coalesce("component", "rep").alias("component_id"))
     out = join_groups(feats.select("id", "n_shingles", "set_key"), named, ["set_key"], "n_rows", ["id"], how="left")
