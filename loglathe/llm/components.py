@@ -1,12 +1,12 @@
 """Connected components of large edge sets, by alternating large and small stars.
 
-Only joins and minima by key: no node's neighbours are gathered, and nothing comes to the driver but
-two counters a round. Lineage is cut by a checkpoint a round.
+Only minima by key, over rows that spill: no node's neighbours are gathered in memory, and nothing comes
+to the driver but two counters a round. Lineage is cut by a checkpoint a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir
@@ -31,24 +31,27 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     for _ in range(rounds or MAX_ROUNDS):
         if mark and not mark[0]:
             break
-        # large star: each node's larger neighbours go to its least neighbour
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # large star: each node's larger neighbours go to the least of it and its neighbours
+        big = _with_least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        big = big.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # small star: each node and its smaller neighbours go to the least of them
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        e2 = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e2 = e2.where("u <> v").distinct().checkpoint()
-        e = e2
+        low = _with_least(big.where("u <> v"))
+        to = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        e = low.select(F.explode(to).alias("x")).select("x.u", "x.v").where("u <> v").distinct().checkpoint()
         if mark:
-            mark, before = _mark(e2), mark
+            mark, before = _mark(e), mark
             if mark == before:
                 break
     else:
         if not rounds:
             raise RuntimeError("components did not settle")
-    lower = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     least = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     if rounds:  # a node may still be in the middle
-        return lower.union(least).groupBy("node").agg(F.min("component").alias("component"))
-    return lower.union(least)
+        return nodes.union(least).groupBy("node").agg(F.min("component").alias("component"))
+    return nodes.union(least)  # once settled, every other node has one edge, to its least
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """Distinct edges with the least neighbour m of u, after one shuffle."""
+    return e.repartition("u").dropDuplicates(["u", "v"]).withColumn("m", F.min("v").over(Window.partitionBy("u")))
