@@ -17,7 +17,7 @@ from .plans import discover, parser, types
 from .plans.treedist import best_mapping
 from .sources import dictionary, sinks, text
 
-__all__ = ["Learned", "dictionary", "dump", "infer", "infer_report", "learn", "map_schemas", "suggest", "summarize", "token_histograms", "token_id", "token_ids", "tokenize", "tokenize_report"]
+__all__ = ["Learned", "dictionary", "dump", "infer", "infer_report", "learn", "map_schemas", "profiles", "suggest", "summarize", "token_histograms", "token_id", "token_ids", "tokenize", "tokenize_report"]
 
 
 @dataclass(frozen=True)
@@ -49,10 +49,10 @@ class Learned:
         return self.parse(df, line)[0].select("parsed.*")
 
 
-def infer(df: DataFrame, line: str = "line", order: str | None = None, meta_by_delimiter: bool = False, depth: int = _profiles.DEPTH, most: int = _profiles.MAX_PROFILES) -> Learned:
+def infer(df: DataFrame, line: str = "line", order: str | None = None, meta_by_delimiter: bool = False, nullable_groups: bool = False, depth: int = _profiles.DEPTH, most: int = _profiles.MAX_PROFILES) -> Learned:
     """The structure of a table's lines; `order` says which lines come first (else their text)."""
     found, sampled = _profiles.collect_profiles(df, line, order or line, depth, most)
-    return Learned(discover.infer(found, meta_by_delimiter), sampled, len(found))
+    return Learned(discover.infer(found, discover.Options(meta_by_delimiter, nullable_groups)), sampled, len(found))
 
 
 def learn(spark: SparkSession, path: str, out: str, emit: bool = True) -> dict[str, float]:
@@ -75,6 +75,11 @@ def learn(spark: SparkSession, path: str, out: str, emit: bool = True) -> dict[s
     return {"lines": total, "parsed": total - rejected, "profiles": learned.profiles, "infer_s": inferred - began, "total_s": time.time() - began}
 
 
+def profiles(df: DataFrame, line: str = "line") -> DataFrame:
+    """(profile, n): the id sequences of a table's lines and their numbers."""
+    return df.where(F.col(line).isNotNull()).groupBy(_profiles.profile(F.col(line)).alias("profile")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_histograms(df: DataFrame, line: str = "line") -> DataFrame:
     """Coverage, width, residual mass and both tests of every token id."""
     return statistics(frequency_counts(df, line), F.lit(df.count()))

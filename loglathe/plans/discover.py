@@ -161,7 +161,16 @@ def _inner(chunks: Sequence[Chunk]) -> list[Chunk]:
     return out
 
 
-def discover(chunks: Sequence[Chunk], meta_by_delimiter: bool = False) -> Node:
+@dataclass(frozen=True)
+class Options:
+    """meta_by_delimiter: groups with different delimiters are different; nullable_groups: a group that was
+    seen empty may be empty."""
+
+    meta_by_delimiter: bool = False
+    nullable_groups: bool = False
+
+
+def discover(chunks: Sequence[Chunk], options: Options = Options()) -> Node:
     chunks = [c for c in chunks if c.examples[0][1]]
     if not chunks:
         return Base(cls="noop")
@@ -173,20 +182,24 @@ def discover(chunks: Sequence[Chunk], meta_by_delimiter: bool = False) -> Node:
         if token.cls != "meta":
             return Base(cls=token.cls, param=token.param, samples=_samples(chunks))
         opener = token.text[0]
-        if meta_by_delimiter:
+        if options.meta_by_delimiter:
             kinds: dict[tuple, list[Chunk]] = defaultdict(list)
             for c in chunks:
                 kinds[(c.examples[0][1][0].text[0],)].append(c)
             if len(kinds) > 1:
-                return Union(branches=tuple(discover(g, True) for g in _ordered(kinds)))
-        return Struct(members=(Base(cls="char", param=opener), discover(_inner(chunks), meta_by_delimiter), Base(cls="char", param=CLOSERS[opener])))
+                return Union(branches=tuple(discover(g, options) for g in _ordered(kinds)))
+        inside = _inner(chunks)
+        inner = discover(inside, options)
+        if options.nullable_groups and inner.has_data and not all(c.examples[0][1] for c in inside):
+            inner = Union(branches=(inner, Base(cls="noop")))
+        return Struct(members=(Base(cls="char", param=opener), inner, Base(cls="char", param=CLOSERS[opener])))
     groups = clusters(histograms(chunks))
     if any(all(h.is_struct for h in g) for g in groups):
         # the profile of a struct holds every id, so each distinct sequence is a record or a branch
         if len(sequences) == 1:
             width = len(chunks[0].ids)
-            return Struct(members=tuple(discover([c.cut(i, i + 1) for c in chunks], meta_by_delimiter) for i in range(width)))
-        return Union(branches=tuple(discover(g, meta_by_delimiter) for g in _ordered(dict(sequences))))
+            return Struct(members=tuple(discover([c.cut(i, i + 1) for c in chunks], options) for i in range(width)))
+        return Union(branches=tuple(discover(g, options) for g in _ordered(dict(sequences))))
     arrays = [g for g in groups if all(h.is_array for h in g)]
     if arrays:
         best = min(arrays, key=lambda g: (-max(h.coverage for h in g), min(h.id for h in g)))
@@ -195,10 +208,10 @@ def discover(chunks: Sequence[Chunk], meta_by_delimiter: bool = False) -> Node:
         if bodies:
             members: list[Node] = []
             if any(p.examples[0][1] for p, _, _ in parts):
-                members.append(discover([p for p, _, _ in parts], meta_by_delimiter))
-            members.append(Array(body=discover(bodies, meta_by_delimiter)))
+                members.append(discover([p for p, _, _ in parts], options))
+            members.append(Array(body=discover(bodies, options)))
             if any(q.examples[0][1] for _, _, q in parts):
-                members.append(discover([q for _, _, q in parts], meta_by_delimiter))
+                members.append(discover([q for _, _, q in parts], options))
             return Struct(members=tuple(members))
     # neither: branches by the first ids, one more than are needed to tell some apart
     k = 1
@@ -209,9 +222,9 @@ def discover(chunks: Sequence[Chunk], meta_by_delimiter: bool = False) -> Node:
         heads[c.ids[: k + 1]].append(c)
     if len(heads) == 1:  # no progress is possible by heads: by whole sequences then
         heads = dict(sequences)
-    return Union(branches=tuple(discover(g, meta_by_delimiter) for g in _ordered(heads)))
+    return Union(branches=tuple(discover(g, options) for g in _ordered(heads)))
 
 
-def infer(profiles: Iterable[LineProfile], meta_by_delimiter: bool = False) -> Node:
+def infer(profiles: Iterable[LineProfile], options: Options = Options()) -> Node:
     """The named type tree of lines with the given profiles."""
-    return named(hoisted(discover(chunks_of(profiles), meta_by_delimiter)))
+    return named(hoisted(discover(chunks_of(profiles), options)))

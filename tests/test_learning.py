@@ -118,6 +118,21 @@ def test_meta_by_delimiter_tells_groups_apart(spark):
     assert api.infer(frame(spark, lines), order="n", meta_by_delimiter=True).parse(frame(spark, lines))[0].count() == 2
 
 
+def test_nullable_groups_accept_empty_ones(spark):
+    lines = ["a1 (5)", "b2 ()", "c3 (7)"]
+    df = frame(spark, lines)
+    strict, loose = api.infer(df, order="n"), api.infer(df, order="n", nullable_groups=True)
+    assert [r.line for r in strict.parse(df)[1].collect()] == ["b2 ()"]
+    good, bad = loose.parse(df)
+    assert bad.count() == 0
+    assert {r.line: "5" in str(r.parsed) or "7" in str(r.parsed) for r in good.collect()} == {"a1 (5)": True, "b2 ()": False, "c3 (7)": True}
+
+
+def test_profiles_count_id_sequences(spark):
+    rows = {r.profile: r.n for r in api.profiles(frame(spark, ["a1 2", "bb 3", "4", None])).collect()}
+    assert rows == {"string ws int": 2, "int": 1}
+
+
 def test_parse_is_native(spark):
     root = tree(LOG)
     plan = parser.with_parsed(frame(spark, LOG), root, "line")._jdf.queryExecution().executedPlan().toString()
