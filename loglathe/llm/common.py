@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,37 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: What Python workers keep between tasks, by operator: how to drop it.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, drop: Callable[[], object] | None = None) -> None:
+    """Called where a task of an operator starts in a Python worker: what other operators keep there goes,
+    and free memory returns to the system. `drop` says how to drop what this one will keep."""
+    for other in [k for k in _kept if k != owner]:
+        _kept.pop(other)()
+    if drop:
+        _kept[owner] = drop
+    try:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another system's C library
+        pass
+
+
+#: Rows of whole texts that a Python worker gets at once.
+TEXT_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession, n: int = TEXT_ROWS) -> None:
+    """Lets the session's batches for Python hold at most n rows, as rows with whole texts are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(n, before) if before > 0 else n))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null. Linear, without materialising the words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_or_shuffled
+from .common import bound_batches, free_name, small_or_shuffled
 
 #: Branches below this composite importance go, on hosts with so many different pages.
 LOW, MIN_PAGES = 0.25, 5
@@ -248,6 +248,7 @@ def _path(n: Node) -> list[Node]:
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with the main text of each whole page."""
+    bound_batches(pages.sparkSession)
     pages = pages.drop(out) if out not in (url, page) else pages
     h, cut = free_name(pages, "host"), free_name(pages, "low")
     pages = pages.withColumn(h, host_of(F.col(url)))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
+from .common import TEXT_ROWS, arrow_rows, claim, ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
 
 #: Lines of so many words may differ by one; so many may be filtered by their ends; words of an end.
 EDIT_WORDS, FILTER_WORDS, END = 8, 13, 6
@@ -70,6 +70,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        claim("line_dedup")
         for batch in batches:
             doc, line, full, ends = [], [], [], []
             for d, t in zip(batch["doc"], batch["t"], strict=True):
@@ -102,6 +103,7 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        claim("line_dedup")
         for batch in batches:
             k, i_, h, doc, line = [], [], [], [], []
             seen: set[bytes] = set()
@@ -172,6 +174,7 @@ def _meet(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
+        claim("line_dedup")
 
         def settle(x: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -227,7 +230,8 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(doc, line, keep_doc, keep_line): every line that goes, with the earliest line close to it."""
     ensure_checkpoint_dir(df.sparkSession)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("t")).where("doc is not null and t is not null")
-    lines = lines_of(docs).checkpoint()  # 48 bytes a line
+    with arrow_rows(df.sparkSession, TEXT_ROWS):
+        lines = lines_of(docs).checkpoint()  # 48 bytes a line
     spot = F.struct("doc", "line")
     first = lines.groupBy("h", "g").agg(F.min(spot).alias("p"), F.count(F.lit(1)).alias("n"), F.first("pre").alias("pre"), F.first("suf").alias("suf")).checkpoint()
     # lines whose first or last words another line shares

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
+from .common import TEXT_ROWS, arrow_rows, claim, ensure_checkpoint_dir, free_name, join_groups, small_or_shuffled
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -138,6 +138,7 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        claim("minhash")
         shingle = Shingler()
         for batch in batches:
             out = []
@@ -269,6 +270,7 @@ def _families(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need = least_matches()
+        claim("minhash")
         keys = ["bucket", "t", "q"]
         for x in _by_block(batches, keys):
             k = x[keys].to_numpy()
@@ -318,6 +320,7 @@ def _links_across(families: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need = least_matches()
+        claim("minhash")
         keys = ["family", "t", "q"]
         for x in _by_block(batches, keys):
             k = x[keys].to_numpy()
@@ -345,7 +348,8 @@ def _links_across(families: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs."""
     ensure_checkpoint_dir(docs.sparkSession)
-    feats = features(docs, key, text).checkpoint()
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        feats = features(docs, key, text).checkpoint()
     real = feats.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
     classes = real.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
     own = real.join(classes.select(F.col("set_key").alias("k"), "rep"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("k"))).dropDuplicates(["id"])

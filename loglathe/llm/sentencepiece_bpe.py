@@ -10,8 +10,8 @@ Where no piece of the model goes over the start of a space run or over a charact
 these cut the text into units that encode independently; a bounded memo of units spares repeats.
 
 Defined cases: null texts count as empty; empty texts have no ids and decode to the empty text. Every
-worker holds one model and at most twice `MEMO` units of up to 64 characters and as many pairs; no text
-is cut.
+worker holds one model and at most twice `MEMO` units of up to 64 characters and twice `PAIRS` pairs; no
+text is cut.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import bound_batches, claim, free_name
 
 SPACE = "▁"
-#: Entries of each of the two generations of the memos of units and of pairs.
-MEMO = 150_000
+#: Entries of each of the two generations of the memo of units, and of that of pairs.
+MEMO, PAIRS = 400_000, 150_000
 #: Characters of text that one Arrow batch of results comes from, at least one row.
 BATCH_CHARS = 4_000_000
 
@@ -43,7 +43,7 @@ def default_model() -> str:
 class _Memo(dict):
     """A dict that fills itself by `make`; when full, only what is asked for again lives on."""
 
-    def __init__(self, make, bound: int = MEMO):
+    def __init__(self, make, bound: int):
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
@@ -80,8 +80,8 @@ class PieceModel:
         self.unk = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.raw = [b"" if p.type == kinds.CONTROL else " ⁇ ".encode() if p.type == kinds.UNKNOWN else bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.is_byte = [p.type == kinds.BYTE for p in model.pieces]
-        self.pairs = _Memo(self._pair)
-        self.units = _Memo(self.encode_unit)
+        self.pairs = _Memo(self._pair, PAIRS)
+        self.units = _Memo(self.encode_unit, MEMO)
         self.automaton = ahocorasick.Automaton()
         for piece in normal:
             if len(piece) == 1 or self.merge(piece) == [piece]:
@@ -228,6 +228,7 @@ def encode(df: DataFrame, text: str, model_path: str | None = None, ids: str = "
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece", load.cache_clear)
         model = load(path)
         for whole in batches:
             start = 0
@@ -250,5 +251,6 @@ def encode(df: DataFrame, text: str, model_path: str | None = None, ids: str = "
                 yield pa.RecordBatch.from_arrays(cols, [*whole.schema.names, *out])
                 start = end
 
+    bound_batches(df.sparkSession)
     result = df.mapInArrow(run, schema)
     return result.withColumnRenamed(source, text) if source != text and text not in out else result.drop(source) if source != text else result

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches, claim
+
 #: Labelled rows that the lexicon and the two coefficients are fitted on, at most; chosen by a hash.
 MAX_TRAIN = 12_000
 #: Learned entries at most; more would not help on labels of this number.
@@ -205,6 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         """(f, n): families of rows that hold a pattern, of those in `only`; '' stands for all rows."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            claim("toxicity")
             for batch in batches:
                 out: list[tuple[str, int]] = []
                 for t in batch["t"]:
@@ -252,6 +255,7 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         m = Matcher(lexicon)
         for texts in batches:
             yield pd.Series([m.score(t or "") for t in texts], dtype="float64")
@@ -266,6 +270,7 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """docs with held_out, score and predicted, learned from the labelled rows that aren't held out."""
+    bound_batches(docs.sparkSession)
     lexicon = learn(docs, labels.where(~held_out(F.col(key))), key, text, label)
     out = docs.withColumn("held_out", held_out(F.col(key))).withColumn("score", score(F.col(text), lexicon))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
