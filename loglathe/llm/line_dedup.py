@@ -106,8 +106,9 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame) -> DataFrame:
         claim("line_dedup")
         for batch in batches:
             k, i_, h, doc, line = [], [], [], [], []
-            seen: set[bytes] = set()
-            for d, t, wanted in zip(batch["doc"], batch["t"], batch["lines"], strict=True):
+            # by id, so that of equal lines hardly any but the earliest, which links need, is sent
+            seen: dict[bytes, tuple[int, int]] = {}
+            for d, t, wanted in sorted(zip(batch["doc"], batch["t"], batch["lines"], strict=True), key=lambda r: r[0]):
                 wanted = set() if wanted is None else set(wanted)
                 for i, x in enumerate(t.encode().split(b"\n")):
                     words = x.split()
@@ -116,9 +117,9 @@ def _variant_rows(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     whole = b" ".join(words)
                     me = xxhash.xxh3_64_intdigest(whole)
                     if i not in wanted:
-                        if whole in seen:
+                        if whole in seen and seen[whole] <= (d, i):
                             continue
-                        seen.add(whole)
+                        seen[whole] = (d, i)
                     keys = [me, *variants(words)]
                     k += keys
                     i_ += range(-1, len(words))

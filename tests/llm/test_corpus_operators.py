@@ -317,6 +317,26 @@ def test_lines_equal_brute_force(spark, docs):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_out_of_order_equal_brute_force(spark):
+    x = "a b c d e f g h i j"
+    rows = [(10, x), (5, x), (7, x.replace("j", "k"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {(r.doc, r.line): (r.keep_doc, r.keep_line) for r in line_dedup.duplicate_lines(df).collect()} == {(10, 0): (5, 0), (7, 0): (5, 0)}
+    for seed in range(6):
+        rng = random.Random(seed)
+        pool = [[f"w{rng.randint(0, 60)}" for _ in range(n)] for n in range(8, 15) for _ in range(2)]
+        texts = {}
+        for i in range(60):
+            lines = [list(rng.choice(pool)) for _ in range(3)]
+            if rng.random() < 0.5:
+                lines[1][rng.randrange(len(lines[1]))] = f"new{rng.randint(0, 3)}"
+            texts[i] = "\n".join(map(" ".join, lines))
+        rows = list(texts.items())
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1 + seed % 3)
+        assert {(r.doc, r.line): (r.keep_doc, r.keep_line) for r in line_dedup.duplicate_lines(df).collect()} == brute_lines(texts)
+
+
 def test_within_one_edit():
     rng = random.Random(1)
     for _ in range(3000):
