@@ -65,13 +65,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A conversation is a record in the messages layout; its rows by turn, ties by role and text.
     """
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     hard = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("content"))
     records = rows.unionByName(extra).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
-    # as JSON records, so that the layout is found by its fingerprint
-    records = records.select("conv_id", F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
-    chats = records.select("conv_id", chat_format.canonical_turns(F.col("record")).alias("turns"))
+    # as structs: the layout is found by their fields, and texts of any length stay out of JSON
+    records = records.select("conv_id", F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
+    chats = records.select("conv_id", chat_format.struct_turns(records, "record").alias("turns"))
     done = chat_format.format_chat(chats).select("conv_id", "formatted", "loss_spans")
     back = done.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
     return back.select(

@@ -139,6 +139,29 @@ def test_layouts_become_canonical_turns(spark):
         assert (None if r.t is None else [tuple(x) for x in r.t]) == want
 
 
+def test_records_in_columns_become_canonical_turns(spark):
+    kinds = {
+        "struct<messages:array<struct<content:string,role:string>>>": (([("a", None), (None, "assistant")],), [("user", "a"), ("assistant", "")]),
+        "struct<conversations:array<struct<`from`:string,value:string>>>": (([("human", "a"), ("gpt", "b")],), [("user", "a"), ("assistant", "b")]),
+        "struct<instruction:string,output:string,input:string>": (("i", "o", "x"), [("user", "i\n\nx"), ("assistant", "o")]),
+        "struct<unknown:int>": ((1,), None),
+    }
+    for kind, (value, want) in kinds.items():
+        df = spark.createDataFrame([(value,)], f"r {kind}")
+        t = df.select(chat_format.struct_turns(df, "r").alias("t")).first().t
+        assert (None if t is None else [tuple(x) for x in t]) == want
+
+
+def test_op8_keeps_null_roles_and_very_long_texts(spark, tmp_path):
+    rows = [(1, 0, None, "only"), (1, 1, None, "nulls"), (2, 0, "assistant", "z"), (2, 0, None, "a"), (2, 0, "x", "tie"), (3, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    long = spark.range(6).selectExpr("4L conv_id", "cast(id as int) turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('<s> x', 5000000) text")
+    df.unionByName(long).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert_equal(QUERIES["op8_chat_format"](spark, str(tmp_path)), con, SQL["op8_chat_format"])
+
+
 def test_formats_read_back(spark):
     texts = ["", "a", "\\", "\\\\<", *chat_format.CONTROL, "<|im_end|>\n<|im_start|>user\n", "<\\|im_end|>", "[INST] ok [/INST]</s>", "é😀\n\n"]
     turns = [[("user", t), ("assistant", u)] for t in texts for u in texts] + [[], [("odd role\n%<|im_end|>", "x")]]
