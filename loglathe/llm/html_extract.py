@@ -6,13 +6,14 @@ with text, which texts recur on how many different pages. A node's importance is
 presentations, taken to the base of its instances; that of content is 1 minus the entropy of its
 texts over the host's pages, so text that every page repeats counts 0 and text of one page 1. A
 branch's composite importance is the mean over the nodes and texts below it. Presentation also counts
-by itself: navigation, forms, scripts and the like have importance 0, the content of `article` and
-`main` has importance 1, and beside them the rest of a page has 0. `extract` removes from every page
-the branches that have low importance with all below them and joins what is left.
+by itself: navigation, forms, scripts and the like have importance 0, and so has, beside the content of
+`article` and `main`, the rest of a page, unless its own texts prove to differ from page to page.
+`extract` removes from every page the branches that have low importance with all below them, inside
+`article` and `main` too, and joins what is left.
 
 Defined cases: null and empty pages give empty texts; pages without a host share one tree; a host
 with fewer than `MIN_PAGES` different pages is judged by presentation alone; copies of a page count
-once. Broken markup never fails: unknown end tags are passed over, open elements end with the page.
+once; where all content of `article` and `main` has low importance, it stays. Broken markup never fails: unknown end tags are passed over, open elements end with the page.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import bound_batches, free_name, small_or_shuffled
 
 #: Branches below this composite importance go, on hosts with so many different pages.
 LOW, MIN_PAGES = 0.25, 5
+#: Texts beside `article` and `main` stay if those of their node have this importance.
+HIGH = 0.75
 
 #: Elements by their part in a page.
 NOISE_TAGS = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head title audio video map fieldset".split())
@@ -184,16 +187,13 @@ class Parser:
         return nodes, blocks
 
 
-def main_text(nodes: list[Node], blocks: list[tuple[Node, str]], low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of a parsed page without its low-importance branches."""
-    inside = any(n.content and not n.noise for n, _ in blocks)
-    out = []
-    for n, t in blocks:
-        if n.noise or (inside and not n.content):
-            continue
-        if n.content or n.key not in low:
-            out.append(t)
-    return " ".join(out)
+def main_text(nodes: list[Node], blocks: list[tuple[Node, str]], low: frozenset[int] | set[int] = frozenset(), high: frozenset[int] | set[int] = frozenset()) -> str:
+    """The blocks of a parsed page without its low-importance branches; beside content, those of high-importance nodes only."""
+    blocks = [(n, t) for n, t in blocks if not n.noise]
+    inside = any(n.content for n, _ in blocks)
+    if inside and not any(n.content and n.key not in low for n, _ in blocks):
+        low = frozenset()
+    return " ".join(t for n, t in blocks if n.key not in low and (n.content or not inside or n.key in high))
 
 
 def host_of(url: Column) -> Column:
@@ -201,7 +201,8 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, node, importance, pages): composite importance of every node of every host's tree.
+    """(site, node, importance, own, pages): of every node of every host's tree, its composite importance and
+    that of its own texts. Node 0 has a host's number of different pages.
 
     Only hashes and counts are shuffled, pre-aggregated; no host's rows come together in one task.
     """
@@ -216,6 +217,7 @@ def style_tree(pages: DataFrame, host: str, page: str) -> DataFrame:
                 nodes, blocks = parser.parse(text or "")
                 sig = xxhash.xxh3_64_intdigest(text or "") >> 1
                 site = xxhash.xxh3_64_intdigest(h) >> 1
+                out.append((site, 0, [0], True, 0, sig))
                 for n in nodes[1:]:
                     if not n.noise and n.children:
                         up = [x.key for x in _path(n)]
@@ -235,8 +237,10 @@ def style_tree(pages: DataFrame, host: str, page: str) -> DataFrame:
     shape = F.when(F.col("m") > 1, 1 - F.col("clogc") / (F.col("m") * F.log("m"))).otherwise(1.0)
     content = F.when(F.col("m") > 1, 1 - F.col("logc") / (F.col("l") * F.log("m"))).otherwise(1.0)
     per = per.withColumn("imp", F.when(F.col("shape"), shape).otherwise(content)).withColumn("w", F.when(F.col("shape"), 0.5).otherwise(1.0))
-    branch = per.select("site", F.explode("up").alias("node"), "imp", "w", "m")
-    return branch.groupBy("site", "node").agg((F.sum(F.col("imp") * F.col("w")) / F.sum("w")).alias("importance"), F.max("m").alias("pages"))
+    text = F.when(~F.col("shape"), F.struct("node", "imp"))
+    branch = per.select("site", text.alias("text"), F.explode("up").alias("node"), "imp", "w", "m")
+    own = F.max(F.when(F.col("text.node") == F.col("node"), F.col("text.imp")))
+    return branch.groupBy("site", "node").agg((F.sum(F.col("imp") * F.col("w")) / F.sum("w")).alias("importance"), own.alias("own"), F.max("m").alias("pages"))
 
 
 def _path(n: Node) -> list[Node]:
@@ -246,14 +250,18 @@ def _path(n: Node) -> list[Node]:
     return out
 
 
-def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", low: float = LOW, min_pages: int = MIN_PAGES, high: float = HIGH) -> DataFrame:
     """pages with the main text of each whole page."""
     bound_batches(pages.sparkSession)
     pages = pages.drop(out) if out not in (url, page) else pages
-    h, cut = free_name(pages, "host"), free_name(pages, "low")
+    h, cut, rescued = free_name(pages, "host"), free_name(pages, "low"), free_name(pages, "high")
     pages = pages.withColumn(h, host_of(F.col(url)))
     tree = style_tree(pages, h, page)
-    cuts = tree.where((F.col("importance") < low) & (F.col("pages") >= min_pages)).groupBy("site").agg(F.collect_list("node").alias(cut))
+    known = (F.col("node") != 0) & (F.col("pages") >= min_pages)
+    tree = tree.where((F.col("node") == 0) | known & ((F.col("importance") < low) | (F.col("own") >= high)))
+    lists = (F.collect_list(F.when(known & x, F.col("node"))) for x in (F.col("importance") < low, F.col("own") >= high))
+    cuts = tree.groupBy("site").agg(F.max(F.when(F.col("node") == 0, F.col("pages"))).alias("n"), *(x.alias(c) for x, c in zip(lists, (cut, rescued), strict=True)))
+    cuts = cuts.where(F.col("n") >= min_pages).drop("n")
     cuts = small_or_shuffled(cuts, 20_000)
     site = free_name(pages, "site")
 
@@ -264,10 +272,10 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
         return pd.Series([xxhash.xxh3_64_intdigest(x) >> 1 for x in hosts], dtype="int64")
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         parser = Parser()
-        for texts, lows in batches:
-            yield pd.Series([main_text(*parser.parse(t or ""), frozenset(x) if x is not None else frozenset()) for t, x in zip(texts, lows, strict=True)], dtype="object")
+        for texts, *lists in batches:
+            yield pd.Series([main_text(*parser.parse(t or ""), *(frozenset() if x is None else frozenset(x) for x in xs)) for t, *xs in zip(texts, *lists, strict=True)], dtype="object")
 
     joined = pages.withColumn(site, site_of(F.col(h))).join(cuts.withColumnRenamed("site", site), site, "left")
-    return joined.withColumn(out, run(F.col(page), F.col(cut))).drop(h, cut, site)
+    return joined.withColumn(out, run(F.col(page), F.col(cut), F.col(rescued))).drop(h, cut, rescued, site)

@@ -105,6 +105,18 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert html_extract.extract(empty).count() == 0
 
 
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    def page(i, host):
+        return f"<article><p>Story {i} of {host}</p><div class=x>Read our offers</div></article><div class=y>Lead {i} of {host}</div><div class=z>The same for all</div>all"
+
+    rows = [(i, f"http://h.example/{i}", page(i, "h")) for i in range(12)] + [(20 + i, f"http://few.example/{i}", page(i, "few")) for i in range(4)]
+    rows += [(40 + i, f"http://one.example/{i}", f"<article><p>One story</p></article><nav>{i}</nav>") for i in range(8)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Story {i} of h Lead {i} of h" for i in range(12))
+    assert all(out[20 + i] == f"Story {i} of few Read our offers" for i in range(4))
+    assert all(out[40 + i] == "One story" for i in range(8))
+
+
 def test_op2_gives_every_article(spark, sf):
     import html as h
     import re
