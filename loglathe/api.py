@@ -22,7 +22,7 @@ __all__ = ["Learned", "dictionary", "dump", "infer", "infer_report", "learn", "m
 
 @dataclass(frozen=True)
 class Learned:
-    """A learned structure; sampled says that there were more profiles than the driver takes."""
+    """A learned structure; sampled says that there were more profiles than were asked for."""
 
     root: types.Node
     sampled: bool
@@ -49,7 +49,7 @@ class Learned:
         return self.parse(df, line)[0].select("parsed.*")
 
 
-def infer(df: DataFrame, line: str = "line", order: str | None = None, meta_by_delimiter: bool = False, nullable_groups: bool = False, depth: int = _profiles.DEPTH, most: int = _profiles.MAX_PROFILES) -> Learned:
+def infer(df: DataFrame, line: str = "line", order: str | None = None, meta_by_delimiter: bool = False, nullable_groups: bool = False, depth: int = _profiles.DEPTH, most: int | None = None) -> Learned:
     """The structure of a table's lines; `order` says which lines come first (else their text)."""
     found, sampled = _profiles.collect_profiles(df, line, order or line, depth, most)
     return Learned(discover.infer(found, discover.Options(meta_by_delimiter, nullable_groups)), sampled, len(found))

@@ -11,8 +11,6 @@ from ..functions import lexer
 
 #: Depth of delimited groups whose inner profiles are part of a line's profile.
 DEPTH = 3
-#: Profiles that the driver learns from, at most; beyond it those with the least hashes stand for all.
-MAX_PROFILES = 50_000
 SAMPLES = 3
 
 
@@ -41,20 +39,22 @@ class LineProfile:
     first: tuple[tuple[int, str], ...]
 
 
-def collect_profiles(df: DataFrame, line: str, order: str, depth: int = DEPTH, most: int = MAX_PROFILES) -> tuple[list[LineProfile], bool]:
+def collect_profiles(df: DataFrame, line: str, order: str, depth: int = DEPTH, most: int | None = None) -> tuple[list[LineProfile], bool]:
     """The distinct profiles of a table's lines, and whether they are a sample.
 
     Lines are lexed in one pass and counted with partial aggregation; of each profile at most
-    `SAMPLES` first lines leave a task.
+    `SAMPLES` first lines leave a task. All profiles are taken; with `most`, the most frequent ones.
     """
     rows = df.where(F.col(line).isNotNull()).select(nested_profile(F.col(line), depth).alias("p"), F.col(order).alias("o"), F.col(line).alias("t"))
-    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("p").alias("h"), "p", "n")
-    kept = counts.orderBy("h", "p").limit(most + 1).collect()
-    sampled = len(kept) > most
-    number = {r["p"]: r["n"] for r in kept[:most]}
+    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    order_by = (F.desc("n"), F.xxhash64("p"), F.col("p"))
+    kept = counts if most is None else counts.orderBy(*order_by).limit(most + 1)
+    found = [(r["p"], r["n"]) for r in kept.toLocalIterator()]
+    sampled = most is not None and len(found) > most
+    number = dict(found[:most])
     w = Window.partitionBy("p").orderBy("o", "t")
     if sampled:
-        rows = rows.where(F.xxhash64("p") <= kept[most - 1]["h"])
+        rows = rows.join(counts.orderBy(*order_by).limit(most).select("p"), "p", "left_semi")
     first = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLES).select("p", "o", "t")
     lines: dict[str, list[tuple[int, str]]] = {p: [] for p in number}
     for r in first.toLocalIterator():

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from loglathe import api
+from loglathe.operators import profiles
 from loglathe.operators.profiles import LineProfile
 from loglathe.plans import discover, parser, types
 
@@ -161,3 +162,19 @@ def test_reports(spark):
     assert api.tokenize_report(df)["failed"] == 1
     assert api.infer_report(df, order="n")["profiles"] >= 1
     assert api.token_histograms(df.where("line is not null")).where("id = 'ipaddr' and is_struct").count() == 1
+
+
+def test_all_profiles_are_learned_from(spark):
+    import itertools
+
+    from loglathe.functions.lexer import lex
+
+    lines = ["".join(x) for x in itertools.product(";|,!", repeat=8)]
+    n = len({tuple(t.id for t in lex(x)) for x in lines})
+    assert n > 50_000
+    dominant = "1"
+    df = frame(spark, lines + [dominant] * 60_000)
+    found, sampled = profiles.collect_profiles(df, "line", "n")
+    assert not sampled and len(found) == n + 1 and sum(p.count for p in found) == len(lines) + 60_000
+    few, sampled = profiles.collect_profiles(df, "line", "n", most=1)
+    assert sampled and [(p.count, p.first[0][1]) for p in few] == [(60_000, dominant)]
