@@ -97,10 +97,10 @@ def test_broken_markup_never_fails(pieces):
 
 def test_style_tree_drops_what_a_host_repeats(spark):
     rows = [(i, f"http://h.example/{i}", f"<div><div class=x>Subscribe to us<span>now</span></div><div class=y>Story number {i} about {'abc'[i % 3] * i}</div></div>") for i in range(12)]
-    rows += [(90, None, None), (91, "http://small.example/", "<div><div class=x>Subscribe to us</div></div>"), (92, "http://h.example/0", rows[0][2])]
+    rows += [(90, None, None), (91, "http://small.example/", "<div><div class=x>Subscribe to us<span>now</span></div></div>"), (92, "http://h.example/0", rows[0][2])]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[3] == "Story number 3 about aaa" and out[92] == out[0]
-    assert out[90] == "" and out[91] == "Subscribe to us"
+    assert out[90] == "" and out[91] == ""  # by the shared tree
     empty = spark.createDataFrame([], "page_id long, url string, html string, site long")
     assert html_extract.extract(empty).count() == 0
 
@@ -113,10 +113,59 @@ def test_style_tree_decides_inside_and_beside_articles(spark):
     rows += [(40 + i, f"http://one.example/{i}", f"<article><p>One story</p></article><nav>{i}</nav>") for i in range(8)]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(out[i] == f"Story {i} of h Lead {i} of h" for i in range(12))
-    assert all(out[20 + i] == f"Story {i} of few Read our offers" for i in range(4))
+    assert all(out[20 + i] == f"Story {i} of few Lead {i} of few" for i in range(4))
     assert all(out[40 + i] == "One story" for i in range(8))
 
 
+NEUTRAL = [f"Tale {i} of the {w} and the {v}" for i in range(15) for w, v in [("abcdefghijklmno"[i] * 9, "xyz"[i % 3] * (i + 3))]]
+
+
+def neutral(i):
+    """A page without an article, whose names say nothing, or the wrong thing."""
+    return (
+        "<div class=a1><div class=b>Home<div>News</div></div></div>"
+        f"<div class='content form-guide'><h1 class=page-header>Head {i}</h1><p>{NEUTRAL[i]}</p><section class=related-work><p>Work {i}</p></section></div>"
+        f"<div class=box-{i}><p>We value your privacy</p></div><div class=c>All rights are ours</div>"
+    )
+
+
+def test_only_the_tree_can_tell(spark, monkeypatch):
+    rows = [(i, f"http://n.example/{i}", neutral(i)) for i in range(15)] + [(50, "http://other.example/", neutral(0).replace("Tale 0", "Tale 50"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("__host", F.lit("clash")).withColumn("site", F.lit(2))
+    want = {i: f"Head {i} {NEUTRAL[i]} Work {i}" for i in range(15)} | {50: f"Head 0 {NEUTRAL[0]} Work 0".replace("Tale 0", "Tale 50")}
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+    # the same where the verdicts don't fit a broadcast
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(html_extract, "HOST_PAGES", 4)
+    again = html_extract.extract(df)
+    assert {r.page_id: r.text for r in again.collect()} == want and sorted(again.columns) == sorted(df.columns)
+    # without a tree nothing tells the blocks apart
+    assert "We value" in html_extract.main_text(*html_extract.Parser().parse(neutral(3)))
+
+
+def test_misleading_names(spark):
+    rows = [(i, f"http://t.example/{i}", f"<div class=story><p>{x} with a <span class=notice-period>notice</span> inside</p></div><article class=teaser>Read the other one</article>") for i, x in enumerate(NEUTRAL)]
+    rows += [(50 + i, f"http://f.example/{i}", f"<form id=aspnet><div class=menu>m</div><p>{x} once more</p></form>") for i, x in enumerate(NEUTRAL)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, x in enumerate(NEUTRAL):
+        assert out[i] == f"{x} with a notice inside"
+        assert out[50 + i] == f"{x} once more"
+
+
+def test_unclosed_raw_elements_do_not_swallow_the_page():
+    for page in ("<svg/><p>a", "<svg><p>a", "<iframe src=x><p>a", "<noscript><p>a", "<template><p>a</p>"):
+        text = html_extract.main_text(*html_extract.Parser().parse(page))
+        assert text == "a", page
+    assert html_extract.main_text(*html_extract.Parser().parse("b<script>x<p>a")) == "b"
+
+
+def test_very_long_pages(spark):
+    page = "<p>" + "word " * 400_000 + "</p>" + "<svg>" * 2000 + "<div>" * 3000 + "deep"
+    df = spark.createDataFrame([(1, "http://l.example/", page), (2, "http://l.example/2", "")], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert out[1] == " ".join(["word"] * 400_000 + ["deep"]) and out[2] == ""
+
+
 def test_op2_gives_every_article(spark, sf):
     import html as h
     import re
