@@ -46,14 +46,14 @@ def test_slots_are_gapless_and_hard_rows_pass(spark, docs):
 # ---- exact dedup
 
 
-@pytest.mark.parametrize("bits", [exact_dedup.MAX_BITS, exact_dedup.BITMAP_BITS])
-def test_groups_of_equal_texts(spark, docs, bits):
+@pytest.mark.parametrize("rows,bits", [(exact_dedup.MAX_ROWS, exact_dedup.MAX_BITS), (100, exact_dedup.MAX_BITS), (100, exact_dedup.BITMAP_BITS)])
+def test_groups_of_equal_texts(spark, docs, rows, bits):
     many = docs.unionByName(spark.range(100, 3100).select(F.col("id").alias("doc_id"), (F.col("id") % 1500).cast("string").alias("text"), F.lit("a").alias("source"), F.lit(1).alias("size")))
     many = many.unionByName(spark.range(5000, 7500).select(F.col("id").alias("doc_id"), F.lit("hot").alias("text"), F.lit("a").alias("source"), F.lit(1).alias("size"))).withColumn("kept", F.lit("clash"))
     want = collections.defaultdict(list)
     for r in many.collect():
         want[r.text or ""].append(r.doc_id)
-    got = exact_dedup.mark_duplicates(many, F.col("text"), "doc_id", bits).collect()
+    got = exact_dedup.mark_duplicates(many, F.col("text"), "doc_id", rows, bits).collect()
     assert len(got) == many.count()
     for r in got:
         ids = want[r.text or ""]
@@ -61,6 +61,19 @@ def test_groups_of_equal_texts(spark, docs, bits):
     assert exact_dedup.mark_duplicates(docs.limit(0), F.col("text"), "doc_id").count() == 0
 
 
+def test_filter_lets_repeats_through_and_hardly_any_other(spark):
+    rows = spark.range(20_000).select(F.xxhash64(F.col("id") % 18_000).alias("h"))
+    ranges = -(-20_000 // exact_dedup.RANGE_ROWS)
+    sketches = exact_dedup.counting_filter(rows, "h", ranges)
+    counted = sketches.select(F.conv(F.hex(F.substring("sketch", 5, 8)), 16, 10).cast("long").alias("n"), F.length("sketch").alias("bytes")).collect()
+    assert sum(r.n for r in counted) == 20_000
+    assert {r.bytes for r in counted} == {exact_dedup.HEAD + 8 * exact_dedup.PROBES * (1 + exact_dedup.CELLS)}
+    marked = exact_dedup.maybe_repeated(rows, "h", "maybe")
+    got = marked.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("maybe").alias("maybe")).collect()
+    assert all(r.maybe for r in got if r.n > 1)
+    assert sum(r.maybe for r in got if r.n == 1) < 0.1 * sum(r.n == 1 for r in got)
+
+
 # ---- mixing
 
 
@@ -100,16 +113,42 @@ def test_mixture_comes_near_its_targets(spark):
 
 
 def test_splitting_tree_keeps_exact_quotas(spark):
-    units = spark.createDataFrame([(0, 40), (1, 7), (2, 0), (3, 1)], "rank int, units long")
-    rows = mixing.shard_quotas(units).collect()
-    by = collections.Counter()
-    for r in rows:
-        by[r["rank"]] += r["quota"]
-    assert by == {0: 40, 1: 7, 3: 1, 2: 0}
-    per = collections.Counter()
-    for r in rows:
-        per[r["shard"]] += r["quota"]
-    assert set(per.values()) == {6}
+    units = [(s, 0, u, u < k) for s, n, k in ((0, 400, 160), (1, 90, 40), (2, 1, 0), (3, 30, 8)) for u in range(n)]
+    rows = mixing.split_quotas(spark.createDataFrame(units, "rank int, epoch int, unit long, drawn boolean")).collect()
+    assert sorted((r["rank"], r.epoch, r.unit, r.drawn) for r in rows) == sorted(units)
+    assert set(collections.Counter(r.shard for r in rows if r.drawn).values()) == {208 // 8}
+    assert set(collections.Counter(r.shard for r in rows if not r.drawn).values()) <= {313 // 8, 313 // 8 + 1}
+    # counts by source vary as the hypergeometric law says: 26 of 208, of which 160 are of source 0
+    of_0 = [c for _, c in collections.Counter(r.shard for r in rows if r.drawn and r["rank"] == 0).items()]
+    assert 1 < np.std(of_0) < 5 or len(set(of_0)) > 1
+
+
+def test_taken_and_shards_follow_the_tree(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("aaabc"), rng.randint(1, 9)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    before = {r.doc_id: r for r in mixing.mix(df, "doc_id", "source", F.col("n")).collect()}
+    real = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda units, levels, seed: real(units, levels, "another tree"))
+    other = {r.doc_id: r for r in mixing.mix(df, "doc_id", "source", F.col("n")).collect()}
+    assert any(before[i].taken != other[i].taken for i in before) and any(before[i].shards != other[i].shards for i in before)
+    for got in (before, other):
+        per = collections.Counter(s for r in got.values() for s in r.shards)
+        assert set(per) == set(range(8)) and max(per.values()) < 1.6 * min(per.values())
+        for s in "abc":
+            mine = [r for r in got.values() if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 9
+
+
+def test_rows_are_dealt_to_shards(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), F.lit("x").alias("__copy"), F.lit(1).alias("size"))
+    mixed = mixing.mix(df, "doc_id", "source", F.lit(2).cast("long"))
+    want = collections.Counter({r.doc_id: r.copies for r in mixed.collect()})
+    out = mixing.in_shards(mixed, "doc_id")
+    got = collections.Counter(r.doc_id for r in out.collect())
+    assert got == +want and set(out.columns) == {"doc_id", "source", "__copy"}
+    first = [r.doc_id for r in out.limit(50).collect()]
+    assert first != sorted(first)
 
 
 def test_mixing_hard_rows(spark, docs):
