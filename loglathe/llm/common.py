@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,15 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with other names for its columns that clash with the names, and the way back."""
+    taken, back = {n.lower() for n in names}, {}
+    for i, c in enumerate([c for c in df.columns if c.lower() in taken]):
+        new = free_name(df, f"aside{i}")
+        df, back[new] = df.withColumnRenamed(c, new), c
+    return df, back
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the shared folder that the session names; one of its own only where none is set."""
     sc = spark.sparkContext

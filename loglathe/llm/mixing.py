@@ -2,16 +2,25 @@
 
 Sources in code point order, null last, weigh 1, 2, 3, 1, ... and share the total size; a target stops
 at `MAX_EPOCHS` times the source's size and its excess is shared again by weight. Each source's rows
-fall into blocks by a hash of their key. A target of e + f source sizes takes every block e times and,
-of the blocks in permuted order, as many once more as fill the rest; only inside the last of them the
-rows are taken up to the nearest one. Block counts, not rows, go down the tree: each node splits its
-exact counts by source between two halves by selection sampling, which draws from the multivariate
-hypergeometric law, until every output shard has its quota; a shard then takes that many of the
-source's permuted blocks, disjoint from the other shards'. Rows are shuffled inside their blocks.
+fall into blocks by a hash of their key. A target of e + f source sizes takes every block in e whole
+epochs; the epoch after them takes the part f of the blocks.
+
+Which blocks those are, and to which output shard each block of each epoch goes, follows from the tree:
+its root has every source's exact block quotas, those that the last epoch takes and those that it
+leaves. Every node gives half of its quotas of each kind, drawn without replacement, to the left and the
+others to the right, so the left half's counts by source follow the multivariate hypergeometric law and
+sums stay exact; the leaves are the shards. The blocks of an epoch, permuted, are then dealt to the
+shards in disjoint runs as long as their quotas, and of its run in the last epoch a shard takes as many
+blocks as its quota says. As blocks differ in size, the last of the blocks so drawn is cut, or one more
+begun, at the row where the source's words come nearest to its target.
+
+Work per node is a rank among its quotas, dealt over tasks by the drawn keys; only narrow rows, a block
+or a quota each, come together. `mixture` sends rows to their shards and shuffles them there.
 
 Defined cases: null texts have size 0; sources of size 0 have the target 0; rows with equal keys are
-taken together; an empty table gives an empty result. Weights, blocks and order depend on nothing but
-the rows, so reruns agree.
+taken together; an empty table gives an empty result; texts of any length count whole. Columns that
+clash with those added, `size` too, are replaced. Weights, blocks and order depend on nothing but the
+rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -19,8 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, free_name, small_or_shuffled, unit_hash
+from .common import ensure_checkpoint_dir, free_name, set_aside, small_or_shuffled, unit_hash
 
+#: Columns that `mix` adds.
+ADDED = ("size", "source_size", "target", "copies", "taken", "shards")
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Rows that a block holds on average, and the most blocks that a source is cut into.
@@ -59,42 +70,39 @@ def _block(h: Column, n_rows: Column) -> Column:
     return F.pmod(h, n).cast("int")
 
 
-def _split(quotas: Column, node: Column, level: int, seed: str) -> Column:
-    """Counts of the left half: selection sampling over all units, source by source."""
+#: Ranges of the drawn keys, in each of which ranks are counted by a task of its own.
+BINS = 256
 
-    def unit(state: Column, j: Column, i: Column) -> Column:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), node, i, j), F.lit(2**40)) + F.lit(0.5)) / F.lit(float(2**40))
-        hit = u * state["left"] < state["want"]
-        return F.struct((state["left"] - 1).alias("left"), (state["want"] - hit.cast("long")).alias("want"), (state["got"] + hit.cast("long")).alias("got"))
 
-    def source(state: Column, i: Column) -> Column:
-        k = F.get(quotas, i)
-        units = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-        end = F.aggregate(units, F.struct(state["left"].alias("left"), state["want"].alias("want"), F.lit(0).cast("long").alias("got")), lambda b, j: unit(b, j, i))
-        return F.struct(end["left"].alias("left"), end["want"].alias("want"), F.concat(state["counts"], F.array(end["got"])).alias("counts"))
+def _ranked(df: DataFrame, by: list[str], key: str, ties: list[str]) -> DataFrame:
+    """df with r, the rank from 0 by key inside the groups, and n, the group's size; no group is sorted in one task."""
+    df = df.withColumn("bin", F.floor(F.col(key) / (2**52 / BINS)).cast("int"))
+    bins = df.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("in_bin"))
+    up_to = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*by, "bin", F.coalesce(F.sum("in_bin").over(up_to), F.lit(0)).alias("before"), F.sum("in_bin").over(Window.partitionBy(*by)).alias("n"))
+    df = df.join(F.broadcast(bins), [*by, "bin"])  # groups x BINS narrow rows at most
+    r = F.row_number().over(Window.partitionBy(*by, "bin").orderBy(key, *ties)) - 1
+    return df.withColumn("r", F.col("before") + r).drop("bin", "before")
 
-    n = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, x: a + x)
-    start = F.struct(n.alias("left"), F.floor(n / 2).cast("long").alias("want"), F.array().cast("array<bigint>").alias("counts"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(quotas) - 1), start, source)["counts"]
 
+def split_quotas(units: DataFrame, levels: int = LEVELS, seed: str = "mix") -> DataFrame:
+    """(rank, epoch, unit, drawn, shard): the leaf of the splitting tree that each block quota goes down to.
 
-def shard_quotas(units: DataFrame, levels: int = LEVELS, seed: str = "mix") -> DataFrame:
-    """(rank, shard, quota) from (rank, units): the leaves of the splitting tree."""
-    tree = units.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "units"))).alias("q")).where(F.size("q") > 0)
-    tree = tree.select(F.lit(0).alias("node"), F.col("q.rank").alias("ranks"), F.col("q.units").alias("quotas"))
+    units: (rank, epoch, unit, drawn), one row for each quota; drawn: whether its block is taken.
+    """
+    tree = units.withColumn("node", F.lit(0))
     for level in range(levels):
-        tree = tree.withColumn("half", _split(F.col("quotas"), F.col("node"), level, seed))
-        other = F.zip_with("quotas", "half", lambda a, b: a - b)
-        halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("half").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), other.alias("quotas")))
-        tree = tree.select("ranks", F.explode(halves).alias("x")).select("ranks", "x.node", "x.quotas")
-    return tree.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("ranks", "quotas")).alias("x")).select("shard", F.col("x.ranks").alias("rank"), F.col("x.quotas").alias("quota"))
+        key = unit_hash(*(F.lit(x) for x in (seed, "split", str(level))), *(F.col(c).cast("string") for c in ("rank", "epoch", "unit")))
+        tree = _ranked(tree.withColumn("u", key), ["node", "drawn"], "u", ["rank", "epoch", "unit"])
+        tree = tree.withColumn("node", F.col("node") * 2 + (F.col("r") >= F.floor(F.col("n") / 2)).cast("int")).drop("u", "r", "n")
+    return tree.withColumnRenamed("node", "shard")
 
 
 def plan(rows: DataFrame, seed: str = "mix", levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(targets by source; decisions by source and block) of rows (key, source, size).
 
     A decision has the full copies, `cut` (of the rows of one more copy the largest hash taken; null
-    for none) and the output shards of the copies.
+    for none) and the output shards of all these copies, the one more last.
     """
     sources = small_or_shuffled(source_targets(rows.select("source", "size")))
     placed = rows.select("source", "size", row_hash(F.col("key"), seed).alias("h"))
@@ -102,42 +110,42 @@ def plan(rows: DataFrame, seed: str = "mix", levels: int = LEVELS) -> tuple[Data
     placed = placed.withColumn("block", _block(F.col("h"), F.col("n_rows"))).drop("s", "source", "n_rows")
     blocks = placed.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     blocks = blocks.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    blocks = blocks.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    blocks = blocks.withColumn("perm", unit_hash(F.lit(seed), F.lit("perm"), F.col("rank").cast("string"), F.col("block").cast("string")))
-    before = Window.partitionBy("rank").orderBy("perm", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    blocks = blocks.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).checkpoint()
+    # the root's quotas: all blocks of each epoch; of the last one the part that is taken
+    quotas = blocks.groupBy("rank").agg(F.count(F.lit(1)).alias("b"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("source_size").alias("source_size"))
+    part = F.when(F.col("source_size") > 0, F.floor(F.col("b").cast("double") * F.col("rest") / F.col("source_size"))).otherwise(0)
+    units = quotas.withColumn("part", part).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    units = units.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    units = units.select("rank", "epoch", "unit", ((F.col("epoch") < F.col("epochs")) | (F.col("unit") < F.col("part"))).alias("drawn"))
+    # runs of permuted blocks for the leaves: block and quota meet at the same place of their epoch
+    place = Window.partitionBy("rank", "epoch")
+    leaves = split_quotas(units, levels, seed).withColumn("place", F.row_number().over(place.orderBy("shard", F.desc("drawn"), "unit")))
+    perm = unit_hash(F.lit(seed), F.lit("perm"), *(F.col(c).cast("string") for c in ("rank", "epoch", "block")))
+    dealt = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).withColumn("perm", perm)
+    dealt = dealt.withColumn("place", F.row_number().over(place.orderBy("perm", "block"))).join(leaves.select("rank", "epoch", "place", "shard", "drawn"), ["rank", "epoch", "place"]).checkpoint()
+    before = Window.partitionBy("rank").orderBy(F.desc("drawn"), "perm", "block").rowsBetween(Window.unboundedPreceding, -1)
+    last = dealt.where("epoch = epochs").withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     state = F.when(F.col("before") + F.col("words") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "part").otherwise("none")
-    blocks = small_or_shuffled(blocks.withColumn("state", state).select("rank", "block", "epochs", "state", (F.col("rest") - F.col("before")).alias("room")))
+    last = small_or_shuffled(last.select("rank", "block", "epochs", state.alias("state"), (F.col("rest") - F.col("before")).alias("room")))
     # the rows of the one block of a source that is taken in part
     inside = Window.partitionBy("rank", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    part = placed.join(blocks.where("state = 'part'"), ["rank", "block"]).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    part = placed.join(last.where("state = 'part'"), ["rank", "block"]).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     past = F.col("before") + F.col("size") - F.col("room")
     part = part.where((past <= 0) | ((F.col("before") < F.col("room")) & (past <= F.col("room") - F.col("before"))))
     cuts = part.groupBy("rank", "block").agg(F.max("h").alias("cut"))
-    decided = blocks.join(cuts, ["rank", "block"], "left").withColumn("cut", F.when(F.col("state") == "whole", F.lit(2**52)).when(F.col("state") == "part", F.col("cut")))
-    copies = F.col("epochs") + F.col("cut").isNotNull().cast("int")
-    counts = decided.groupBy("rank").agg(F.sum(copies).alias("units"))
-    quotas = shard_quotas(counts, levels, seed)
-    up_to = Window.partitionBy("rank").orderBy("shard")
-    quotas = quotas.withColumn("hi", F.sum("quota").over(up_to)).withColumn("lo", F.col("hi") - F.col("quota"))
-    units = decided.withColumn("copies", copies).where("copies > 0").select("rank", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    drawn = Window.partitionBy("rank").orderBy(unit_hash(F.lit(seed), F.lit("draw"), F.col("rank").cast("string"), F.col("block").cast("string"), F.col("copy").cast("string")), "block", "copy")
-    units = units.withColumn("r", F.row_number().over(drawn)).withColumnRenamed("rank", "u_rank")
-    dealt = units.join(quotas, (F.col("u_rank") == F.col("rank")) & (F.col("r") > F.col("lo")) & (F.col("r") <= F.col("hi")))
-    shards = dealt.groupBy("u_rank", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards")).withColumnRenamed("u_rank", "rank")
-    decided = decided.join(shards, ["rank", "block"], "left").select("rank", "block", "epochs", "cut", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
-    return sources, small_or_shuffled(decided)
+    decided = last.join(cuts, ["rank", "block"], "left").withColumn("cut", F.when(F.col("state") == "whole", F.lit(2**52)).when(F.col("state") == "part", F.col("cut")))
+    shards = dealt.groupBy("rank", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"]).alias("shards"))
+    return sources, small_or_shuffled(decided.join(shards, ["rank", "block"]).select("rank", "block", "epochs", "cut", "shards"))
 
 
 def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = "mix", levels: int = LEVELS) -> DataFrame:
-    """df with size, source_size, target, copies, taken and shards (one of 2^levels for each copy).
+    """df with size, source_size, target, copies, taken and shards (one of 2^levels for each copy, in epoch order).
 
     Only (key, source, size) is written down once, 24 bytes a row; wide rows never shuffle unless the
     sources or blocks are too many to broadcast.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "shards")
     df = df.withColumn("size", size)
-    df = df.drop(*(c for c in added[1:] if c not in (key, source)))
+    df = df.drop(*(c for c in ADDED[1:] if c not in (key, source)))
     ensure_checkpoint_dir(df.sparkSession)
     narrow = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), "size").checkpoint()
     sources, decided = plan(narrow, seed, levels)
@@ -152,3 +160,23 @@ def mix(df: DataFrame, key: str, source: str, size: Column, seed: str = "mix", l
     more = F.coalesce(F.col(h) <= F.col(n + "c"), F.lit(False)).cast("int")
     out = out.withColumn("copies", F.col("copies") + more).withColumn("taken", F.col("size") * F.col("copies"))
     return out.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies"))).drop(h, s, b, r, n + "c")
+
+
+def in_shards(mixed: DataFrame, key: str, seed: str = "mix", shards: int = 2**LEVELS) -> DataFrame:
+    """The rows of `mix`, one for each copy, dealt to partitions by shard and shuffled inside them; its added columns
+    go. A shard lies in several partitions, as many as make up the session's shuffle partitions."""
+    copy, part = free_name(mixed, "copy"), free_name(mixed, "part")
+    rows = mixed.select("*", F.posexplode(F.slice("shards", F.lit(1), F.col("copies"))).alias(copy, part))
+    order = unit_hash(F.lit(seed), F.lit("order"), F.col(f"`{key}`").cast("string"), F.col(copy).cast("string"))
+    n = max(shards, int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn(copy, order)
+    rows = rows.repartition(n, F.col(part), F.pmod(F.col(copy), F.lit(-(-n // shards)))).sortWithinPartitions(part, copy)
+    return rows.drop(copy, part, *ADDED)
+
+
+def mixture(df: DataFrame, key: str, source: str, size: Column, seed: str = "mix", levels: int = LEVELS) -> DataFrame:
+    """df's rows as often as the mixture takes them, in their shards; columns of any names pass unchanged."""
+    k, s, n = free_name(df, "key"), free_name(df, "from"), free_name(df, "words")
+    df = df.withColumns({k: F.col(f"`{key}`"), s: F.col(f"`{source}`"), n: size})
+    df, back = set_aside(df, ADDED)
+    return in_shards(mix(df, k, s, F.col(n), seed, levels), k, seed, 2**levels).drop(k, s, n).withColumnsRenamed(back)

@@ -57,7 +57,7 @@ def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part in the mixture of all sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mixing.mix(docs, "doc_id", "source", F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, "doc_id", "source", F.col("size")).select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,15 @@ def _bid(s: int) -> str:
     return f"{{'u': -{_UNIT.format(f'''concat_ws(':', 'shard', k, '{s}')''')}, 's': {s}}}"
 
 
+def _split_level(level: int) -> str:
+    """One level of the splitting tree: of each node's quotas of a kind, half go left."""
+    key = _UNIT.format(f"concat_ws(':', 'mix', 'split', '{level}', rank::VARCHAR, epoch::VARCHAR, unit::VARCHAR)")
+    return f"""t{level + 1} AS (
+    SELECT rank, epoch, unit, drawn, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node, drawn ORDER BY {key}, rank, epoch, unit) - 1 >= count(*) OVER (PARTITION BY node, drawn) // 2 THEN 1 ELSE 0 END AS node
+    FROM t{level}
+)"""
+
+
 SQL: dict[str, str] = {
     "op4_line_dedup": f"""
 WITH l0 AS (
@@ -184,11 +193,32 @@ WITH d AS (
         h % least({mixing.MAX_BLOCKS}, ceil(n / {mixing.BLOCK_ROWS}.0)::BIGINT) AS block
     FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ), b AS (
-    SELECT rank, block, any_value(target) - any_value(epochs) * any_value(source_size) AS rest, sum(size) AS words,
-        {_UNIT.format("concat_ws(':', 'mix', 'perm', rank::VARCHAR, block::VARCHAR)")} AS perm
+    SELECT rank, block, any_value(target) - any_value(epochs) * any_value(source_size) AS rest, any_value(epochs) AS epochs, any_value(source_size) AS source_size, sum(size) AS words
     FROM p GROUP BY rank, block
+), k AS (
+    SELECT rank, count(*) AS n, any_value(epochs) AS epochs, CASE WHEN any_value(source_size) > 0 THEN floor(count(*)::DOUBLE * any_value(rest) / any_value(source_size)) ELSE 0 END AS part
+    FROM b GROUP BY rank
+), u0 AS (
+    SELECT rank, epochs, part, n, unnest(range(epochs + 1)) AS epoch FROM k
+), u1 AS (
+    SELECT rank, epoch, epochs, part, unnest(range(n)) AS unit FROM u0
+), t0 AS (
+    SELECT rank, epoch, unit, epoch < epochs OR unit < part AS drawn, 0 AS node FROM u1
+), {", ".join(_split_level(level) for level in range(mixing.LEVELS))}, leaf AS (
+    SELECT *, row_number() OVER (PARTITION BY rank, epoch ORDER BY node, drawn DESC, unit) AS place FROM t{mixing.LEVELS}
+), e0 AS (
+    SELECT *, unnest(range(epochs + 1)) AS epoch FROM b
+), e1 AS (
+    SELECT *, {_UNIT.format("concat_ws(':', 'mix', 'perm', rank::VARCHAR, epoch::VARCHAR, block::VARCHAR)")} AS perm FROM e0
+), e2 AS (
+    SELECT *, row_number() OVER (PARTITION BY rank, epoch ORDER BY perm, block) AS place FROM e1
+), dealt AS (
+    SELECT e2.*, node, drawn FROM e2 JOIN leaf USING (rank, epoch, place)
 ), b2 AS (
-    SELECT rank, block, words, rest - coalesce(sum(words) OVER (PARTITION BY rank ORDER BY perm, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b
+    SELECT rank, block, words, rest - coalesce(sum(words) OVER (PARTITION BY rank ORDER BY drawn DESC, perm, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+    FROM dealt WHERE epoch = epochs
+), sh AS (
+    SELECT rank, block, list(node ORDER BY epoch) AS shards FROM dealt GROUP BY rank, block
 ), q AS (
     SELECT p.*, room, words, coalesce(sum(size) OVER (PARTITION BY p.rank, p.block ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM p JOIN b2 USING (rank, block)
@@ -196,9 +226,11 @@ WITH d AS (
     SELECT rank, block, max(h) AS cut FROM q
     WHERE words > room AND room > 0 AND (before + size - room <= 0 OR (before < room AND before + size - room <= room - before))
     GROUP BY rank, block
+), z AS (
+    SELECT q.*, epochs + CASE WHEN words <= room OR h <= cut THEN 1 ELSE 0 END AS copies FROM q LEFT JOIN c USING (rank, block)
 )
-SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN words <= room OR h <= cut THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM q LEFT JOIN c USING (rank, block)""",
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, array_to_string(shards[:copies], ',') AS shards
+FROM z JOIN sh USING (rank, block)""",
     "op8_chat_format": r"""
 WITH r AS (
     SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations

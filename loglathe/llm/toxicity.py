@@ -268,6 +268,10 @@ def held_out(key: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
+#: Columns that `scored` adds.
+ADDED = ("held_out", "score", "predicted")
+
+
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """docs with held_out, score and predicted, learned from the labelled rows that aren't held out."""
     bound_batches(docs.sparkSession)
