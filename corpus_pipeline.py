@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import line_dedup, minhash_bayes, mixing, sentencepiece_bpe, toxicity
-from loglathe.llm.common import ensure_checkpoint_dir, n_words, table, unit_hash
+from loglathe.llm.common import ensure_checkpoint_dir, n_words, set_aside, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon learned from the labels doesn't call toxic."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    rows, back = set_aside(docs, toxicity.ADDED)
+    scored = toxicity.scored(rows, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("predicted") == 0).withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it, shuffled inside its partition."""
-    columns = docs.columns
-    mixed = mixing.mix(docs, "doc_id", "source", n_words(F.col("text")))
-    rows = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.sortWithinPartitions(unit_hash(F.lit("order"), F.col("doc_id").cast("string"), F.col("copy").cast("string"))).select(*columns)
+    """Each document as often as the mixture takes it, in the output shards that it draws, shuffled there."""
+    return mixing.mixture(docs, "doc_id", "source", n_words(F.col("text"))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
