@@ -1,14 +1,17 @@
 """The lexer: lines of text to arrays of tokens, as one regular expression over built-in functions.
 
 The rules are tried in order at the current position and every position matches some rule, so the
-token sequence is what `regexp_extract_all` gives for the ordered alternation of the rules' patterns.
-Each lexeme's class follows from the lexeme alone. A range of numbers gives three tokens. No Python
-runs on the executors; `lex` is the same lexer for single lines on the driver.
+lexemes of a line are the matches of the ordered alternation of the rules' patterns. One replacement of
+all matches writes a mark before each lexeme and, as every class that its first character doesn't tell
+has a group of its own, marks beside it that say which group matched; split at the first mark, that is
+all tokens with their classes. A range of numbers gives three tokens. No Python runs on the executors;
+`lex` is the same lexer for single lines on the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -81,15 +84,28 @@ def rules(day: str = DAY) -> list[tuple[str, str]]:
     ]
 
 
-def alternation(day: str = DAY) -> str:
-    out = []
-    for name, p in rules(day):
-        # dates start with a digit or the first letter of a month; elsewhere none of their forms is tried
-        out.append(f"(?=[0-9JFMASONDjfmasond])(?:{p})" if name == "date" and day == DAY else f"(?:{p})")
-    return "|".join(out)
+#: What the first form of a date or any other can start with; elsewhere none of them is tried.
+DATE_START = "(?=[0-9JFMASONDjfmasond])(?=[0-9]|(?:[Jj]an|[Ff]eb|[Mm]a[ry]|[Aa]pr|[Jj]u[nl]|[Aa]ug|[Ss]ep|[Oo]ct|[Nn]ov|[Dd]ec))"
+
+
+def alternation(day: str = DAY, group: Callable[[str], str] = lambda name: "(?:") -> str:
+    """The rules in order; group says how a rule's group opens."""
+    return "|".join(f"{DATE_START if name == 'date' and day == DAY else ''}{group(name)}{p})" for name, p in rules(day))
 
 
 LEXEME = alternation()
+#: Classes with a group of their own; of the others the first character and the length tell the class.
+MARKED = ("ipaddr", "permissionbits", "date", "time", "floatrange", "intrange", "float", "int")
+#: A mark before each lexeme, and one before each group but that of the other classes.
+START_MARK, GROUP_MARK = "\x01", "\x02"
+#: Characters that a class can start with, so that most lexemes pass its rules at one glance.
+STARTS = {"ipaddr": "(?=[0-9*])", "date": DATE_START} | {x: "(?=[0-9.+-])" for x in ("time", "floatrange", "intrange", "float", "int")}
+OTHERS = "|".join(f"(?:{p})" for _, p in rules()[9:])
+MARKING = "|".join([f"({meta_pattern()})", *(f"{STARTS.get(name, '')}({p})" for name, p in rules()[1:9]), f"({OTHERS})"])
+#: A lexeme with a group of its own stands among marks, one at its end at least; the others come after all of them.
+REPLACEMENT = START_MARK + "".join(f"${i + 2}{GROUP_MARK}" for i in range(len(MARKED))) + "$1$10"
+#: Lines with a range of numbers have this somewhere.
+RANGE_HINT = r"[0-9]-[.0-9]"
 
 
 def lexemes(line: Column) -> Column:
@@ -97,6 +113,40 @@ def lexemes(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(LEXEME), F.lit(0))
 
 
+def _pieces(line: Column) -> Column:
+    """The lexemes of a line that isn't empty and has no marks of its own, marked if they have a group."""
+    marked = F.regexp_replace(line, F.lit(MARKING), F.lit(REPLACEMENT))
+    marked = F.replace(marked, F.lit(START_MARK + GROUP_MARK * len(MARKED)), F.lit(START_MARK))
+    return F.split(F.substr(marked, F.lit(2)), START_MARK, -1)
+
+
+_LINE_ENDS = [ord(c) for c in "\t\x0b\f\r"]
+
+
+def _by_start(x: Column) -> Column:
+    """The class of a lexeme that has no group of its own."""
+    first, one = F.ascii(x), F.octet_length(x) == 1
+    out = F.when(first == ord(" "), "ws").when(one, F.when(first == ord("\n"), "eol").when(first.isin(_LINE_ENDS), "ws").otherwise("char"))
+    return out.when(first.isin([ord(c) for c in CLOSERS]), "meta").when(first.isin(_LINE_ENDS), "ws").when((first > 127) & (F.length(x) == 1), "char").otherwise("string")
+
+
+def _by_marks(piece: Column) -> Column:
+    """The class of a lexeme among marks: how many are before it."""
+    return F.element_at(F.array(*map(F.lit, MARKED)), F.length(piece) - F.length(F.ltrim(piece, F.lit(GROUP_MARK))) + 1)
+
+
+def _among_marks(piece: Column) -> Column:
+    return piece.endswith(GROUP_MARK)
+
+
+def _piece_class(piece: Column) -> Column:
+    return F.when(_among_marks(piece), _by_marks(piece)).otherwise(_by_start(piece))
+
+
+def _piece_text(piece: Column) -> Column:
+    return F.when(_among_marks(piece), F.replace(piece, F.lit(GROUP_MARK), F.lit(""))).otherwise(piece)
+
+
 def _class(x: Column) -> Column:
     """The class of one lexeme, ranges as such."""
     first, size = F.substring(x, 1, 1), F.length(x)
@@ -124,13 +174,35 @@ def _expand(t: Column) -> Column:
     return F.when(cls.isin("floatrange", "intrange"), parts).otherwise(F.array(_token(cls, F.when(cls == "char", x), x)))
 
 
+def _plain(piece: Column) -> Column:
+    """The token of a piece that is no range."""
+    cls = _piece_class(piece)
+    return _token(cls, F.when(cls == "char", piece), _piece_text(piece))
+
+
+def _ways(line: Column, slow: Callable[[Column], Column], ranges: Callable[[Column], Column], plain: Callable[[Column], Column]) -> Column:
+    """What one of three makes of a line: slow of lines that hold a mark, where the class of each lexeme is found from
+    the lexeme, ranges of those that may hold a range, plain of the others."""
+    own_marks = line.contains(START_MARK) | line.contains(GROUP_MARK)
+    return F.when(own_marks | (line == ""), slow(lexemes(line))).when(line.rlike(RANGE_HINT), ranges(_pieces(line))).otherwise(plain(_pieces(line)))
+
+
+def _expanded(lexemes: Column, cls: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(F.transform(lexemes, lambda x: F.struct(cls(x).alias("cls"), text(x).alias("text"))), _expand))
+
+
 def tokenize(line: Column) -> Column:
-    """array<struct<cls,param,text>> of a line. param is the character of a char token, else null.
+    """array<struct<cls,param,text>> of a line. param is the character of a char token, else null."""
+    return _ways(line, lambda x: _expanded(x, _class, lambda y: y), lambda x: _expanded(x, _piece_class, _piece_text), lambda x: F.transform(x, _plain))
+
+
+def classes(line: Column) -> Column:
+    """The classes of a line's tokens (array<string>)."""
 
-    The class is found once for each lexeme; what uses it reads the field.
-    """
-    classed = F.transform(lexemes(line), lambda x: F.struct(_class(x).alias("cls"), x.alias("text")))
-    return F.flatten(F.transform(classed, _expand))
+    def of(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: t["cls"])
+
+    return _ways(line, lambda x: of(_expanded(x, _class, lambda y: y)), lambda x: of(_expanded(x, _piece_class, _piece_text)), lambda x: F.transform(x, _piece_class))
 
 
 def token_id(token: Column, meta_by_delimiter: bool = False) -> Column:
@@ -142,7 +214,17 @@ def token_id(token: Column, meta_by_delimiter: bool = False) -> Column:
 
 
 def token_ids(line: Column, meta_by_delimiter: bool = False) -> Column:
-    return F.transform(tokenize(line), lambda t: token_id(t, meta_by_delimiter))
+    def of(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: token_id(t, meta_by_delimiter))
+
+    def plain(piece: Column) -> Column:
+        cls = _piece_class(piece)
+        param = F.when(cls == "char", piece)
+        if meta_by_delimiter:
+            param = param.when(cls == "meta", F.substring(piece, 1, 1))
+        return F.concat(cls, F.coalesce(param, F.lit("")))
+
+    return _ways(line, lambda x: of(_expanded(x, _class, lambda y: y)), lambda x: of(_expanded(x, _piece_class, _piece_text)), lambda x: F.transform(x, plain))
 
 
 def has_data(cls: Column) -> Column:
@@ -205,16 +287,14 @@ class Token:
         return self.text[1:-1]
 
 
-_LEXEME = re.compile(LEXEME)
-_RULES = [(n, re.compile(p)) for n, p in rules()]
+_LEXEME = re.compile(alternation(group=lambda name: f"(?P<{name}>"))
 _RANGE = re.compile("(?<=[0-9])-")
 
 
 def lex(line: str) -> list[Token]:
     out: list[Token] = []
     for m in _LEXEME.finditer(line):
-        x = m.group()
-        cls = next(n for n, p in _RULES if p.fullmatch(x) and not (n == "meta" and len(x) < 2))
+        x, cls = m.group(), m.lastgroup
         if cls in ("floatrange", "intrange"):
             a, b = _RANGE.split(x, maxsplit=1)
             kind = cls.removesuffix("range")

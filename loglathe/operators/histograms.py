@@ -11,19 +11,13 @@ from ..functions import lexer
 CLUSTER_TOLERANCE, MAX_RESIDUAL, MIN_COVERAGE, ARRAY_WIDTH = 0.01, 0.1, 0.2, 3
 
 
-def token_frequencies(df: DataFrame, line: str, key: str) -> DataFrame:
-    """(key, id, freq): occurrences of each id in each line."""
-    ids = df.select(key, F.explode(lexer.token_ids(F.col(line))).alias("id"))
-    return ids.groupBy(key, "id").agg(F.count(F.lit(1)).alias("freq"))
-
-
 def frequency_counts(df: DataFrame, line: str) -> DataFrame:
     """(id, freq, n): the number of lines that hold id freq times.
 
     Counted inside each line by built-in functions, so that only (id, freq) pairs shuffle.
     """
     ids = df.select(lexer.token_ids(F.col(line)).alias("ids"))
-    pairs = ids.select(F.explode(F.transform(F.array_distinct("ids"), lambda x: F.struct(x.alias("id"), F.size(F.filter("ids", lambda y: y == x)).cast("long").alias("freq")))).alias("x"))
+    pairs = ids.select(F.explode(F.transform(F.array_distinct("ids"), lambda x: F.struct(x.alias("id"), (F.size("ids") - F.size(F.array_remove("ids", x))).cast("long").alias("freq")))).alias("x"))
     return pairs.groupBy("x.id", "x.freq").agg(F.count(F.lit(1)).alias("n"))
 
 

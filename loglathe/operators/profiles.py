@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +43,26 @@ class LineProfile:
 def collect_profiles(df: DataFrame, line: str, order: str, depth: int = DEPTH, most: int | None = None) -> tuple[list[LineProfile], bool]:
     """The distinct profiles of a table's lines, and whether they are a sample.
 
-    Lines are lexed in one pass and counted with partial aggregation; of each profile at most
-    `SAMPLES` first lines leave a task. All profiles are taken; with `most`, the most frequent ones.
+    Lines are lexed once; profiles travel as 128-bit hashes, counted with partial aggregation, and of each
+    at most `SAMPLES` first lines leave a task. All profiles are taken; with `most`, the most frequent ones.
     """
-    rows = df.where(F.col(line).isNotNull()).select(nested_profile(F.col(line), depth).alias("p"), F.col(order).alias("o"), F.col(line).alias("t"))
-    counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    order_by = (F.desc("n"), F.xxhash64("p"), F.col("p"))
-    kept = counts if most is None else counts.orderBy(*order_by).limit(most + 1)
-    found = [(r["p"], r["n"]) for r in kept.toLocalIterator()]
-    sampled = most is not None and len(found) > most
-    number = dict(found[:most])
-    w = Window.partitionBy("p").orderBy("o", "t")
-    if sampled:
-        rows = rows.join(counts.orderBy(*order_by).limit(most).select("p"), "p", "left_semi")
-    first = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLES).select("p", "o", "t")
-    lines: dict[str, list[tuple[int, str]]] = {p: [] for p in number}
-    for r in first.toLocalIterator():
-        if r["p"] in lines:
-            lines[r["p"]].append((r["o"], r["t"]))
+    p = nested_profile(F.col(line), depth)
+    rows = df.where(F.col(line).isNotNull()).select(F.struct(F.xxhash64(p).alias("a"), F.xxhash64(p, F.lit(1)).alias("b")).alias("p"), F.col(order).alias("o"), F.col(line).alias("t"))
+    rows = rows.select("p.*", "o", "t").persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        kept = counts if most is None else counts.orderBy(F.desc("n"), "a", "b").limit(most + 1)
+        found = [((r["a"], r["b"]), r["n"]) for r in kept.collect()]  # 24 bytes a profile
+        sampled = most is not None and len(found) > most
+        number = dict(found[:most])
+        some = rows.join(F.broadcast(kept.limit(most).select("a", "b")), ["a", "b"], "left_semi") if sampled else rows
+        w = Window.partitionBy("a", "b").orderBy("o", "t")
+        first = some.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLES).select("a", "b", "o", "t")
+        lines: dict[tuple[int, int], list[tuple[int, str]]] = {p: [] for p in number}
+        for r in first.toLocalIterator():
+            if (r["a"], r["b"]) in lines:
+                lines[r["a"], r["b"]].append((r["o"], r["t"]))
+    finally:
+        rows.unpersist()
     out = [LineProfile(n, tuple(sorted(lines[p]))) for p, n in number.items() if lines[p]]
     return sorted(out, key=lambda x: x.first[0]), sampled

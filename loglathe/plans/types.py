@@ -163,6 +163,13 @@ def avro_schema(node: Node) -> Any:
     return {"type": "record", "name": node.name, "doc": "RECORD", "fields": [{"name": m.name, "type": avro_schema(m), **({"doc": m.doc()} if isinstance(m, Base) and m.doc() else {})} for m in node.children if m.has_data]}
 
 
+def without_docs(schema: Any) -> Any:
+    """An Avro schema without its docs, which hold examples."""
+    if isinstance(schema, dict):
+        return {k: without_docs(v) for k, v in schema.items() if k != "doc"}
+    return [without_docs(x) for x in schema] if isinstance(schema, list) else schema
+
+
 def to_dict(node: Node) -> dict[str, Any]:
     out: dict[str, Any] = {"kind": node.kind, "name": node.name}
     if isinstance(node, Base):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -111,10 +112,9 @@ def _tokens(df: DataFrame) -> DataFrame:
 for _source in ("documents", "pages", "conversations", "events", "props", "part"):
 
     def _count_by_class(spark: SparkSession, sf_dir: str, source: str = _source) -> DataFrame:
-        # counted inside each line, so that a class and a number shuffle, not a row a token
-        classes = _lines(spark, sf_dir, source).select(F.transform(lexer.tokenize(F.col("line")), lambda t: t["cls"]).alias("c"))
-        pairs = classes.select(F.explode(F.transform(F.array_distinct("c"), lambda x: F.struct(x.alias("cls"), F.size(F.filter("c", lambda y: y == x)).alias("n")))).alias("x"))
-        return pairs.groupBy("x.cls").agg(F.sum("x.n").alias("n"))
+        # counted in the tasks, so that a class and a number shuffle, not a row a token
+        classes = _lines(spark, sf_dir, source).select(F.explode(lexer.classes(F.col("line"))).alias("cls"))
+        return classes.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
 
     _query(f"tok_count_by_class_{_source}", f"WITH {tokens_sql(LINES_SQL[_source])} SELECT cls, count(*) AS n FROM t GROUP BY cls")(_count_by_class)
 
@@ -345,23 +345,102 @@ def _columns(schema: T.StructType, path: str = ""):
             yield f"{path}{f.name}", f.dataType
 
 
-@_query("infer_tree")
+#: What the trees of the three sources must be: three shapes of log lines, one of props, one of names.
+_PROPS = '{char({) {{char(") char(k) char(")} char(:) ws int} char(})}'
+_SHAPE = "{{ipaddr {}string ws {{char([) date char(])}} ws time ws float ws {}}}"
+_EVENT_TREE = f"<{{char(;) char(;) char(;) ws char(|)}} | {_SHAPE.format('ws char(-) ws ', _PROPS)} | {_SHAPE.format('ws ', _PROPS)}>"
+#: Their numbers of nodes: 1 + 6 + 27 + 25, 11 and 4. Every node costs ln 24.
+_NODES = {"events": (_EVENT_TREE, 59, 3), "props": (_PROPS, 11, 1), "part": ("{string ws string}", 4, 1)}
+
+
+@_query("infer_tree", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(t)}, round({n} * ln(24), 6)::DOUBLE, {p}::BIGINT, false)" for k, (t, n, p) in _NODES.items()) + ") v(source, tree, cost, profiles, sampled)")
 def infer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The learned trees of three sources, with their schemas and costs."""
+    """The learned trees of three sources with their costs."""
+    rows = []
+    for source in _NODES:
+        x = api.infer(_lines(spark, sf_dir, source), order="k")
+        rows.append((source, types.render(x.root), round(x.cost(), 6), x.profiles, x.sampled))
+    return spark.createDataFrame(rows, "source string, tree string, cost double, profiles long, sampled boolean")
+
+
+_DATE_TYPE, _TIME_TYPE = "struct<month:int,day:int,year:int>", "struct<hrs:int,mins:int,secs:int>"
+
+
+def _avro_record(name: str, *fields: tuple[str, object]) -> dict[str, object]:
+    return {"type": "record", "name": name, "fields": [{"name": n, "type": t} for n, t in fields]}
+
+
+#: Nodes are numbered by kind in preorder; those without data are left out.
+_SCHEMAS = {
+    "props": ("struct<record_2:struct<base_7:int>>", _avro_record("record_1", ("record_2", _avro_record("record_2", ("base_7", "int"))))),
+    "part": ("struct<base_1:string,base_3:string>", _avro_record("record_1", ("base_1", "string"), ("base_3", "string"))),
+}
+
+
+@_query("learned_schemas", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(s)}, {_quoted(json.dumps(a))})" for k, (s, a) in _SCHEMAS.items()) + ") v(source, spark, avro)")
+def learned_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark and Avro schemas of what was learned."""
     rows = []
-    for source in ("events", "props", "part"):
+    for source in _SCHEMAS:
         x = api.infer(_lines(spark, sf_dir, source), order="k")
-        rows.append((source, types.render(x.root), x.schema.simpleString(), str(x.avro()), x.cost(), x.profiles, x.sampled))
-    return spark.createDataFrame(rows, "source string, tree string, schema string, avro string, cost double, profiles long, sampled boolean")
+        rows.append((source, x.schema.simpleString(), json.dumps(types.without_docs(x.avro()))))
+    return spark.createDataFrame(rows, "source string, spark string, avro string")
+
+
+@_query(
+    "parse_arrays",
+    "SELECT l_orderkey AS k, count(*) AS n, sum(l_partkey)::BIGINT AS total, min(l_partkey)::BIGINT AS first FROM lineitem GROUP BY l_orderkey",
+)
+def parse_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of numbers of any length are learned as an array, and read back as one."""
+    items = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list("l_partkey")).alias("x"))
+    lines = items.select("k", F.array_join(F.transform("x", lambda v: F.concat(v.cast("string"), F.lit(","))), "").alias("line"))
+    learned = api.infer(lines, order="k")
+    array = next(n for n in learned.root.walk() if isinstance(n, types.Array))
+    head = next(c for c, t in _columns(learned.schema) if t == T.IntegerType())
+    rest = F.transform(F.col(f"parsed.{array.name}"), lambda x: F.coalesce(*(x[m.name] for m in array.body.children if m.has_data)))
+    good = learned.parse(lines)[0].select("k", F.concat(F.array(F.col(f"parsed.{head}")), F.coalesce(rest, F.array().cast("array<int>"))).alias("x"))
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v)
+    return good.select("k", F.size("x").cast("long").alias("n"), total.alias("total"), F.array_min("x").cast("long").alias("first"))
+
+
+@_query(
+    "parse_heads",
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 3 <> 1 THEN p_size END::INTEGER AS number, CASE WHEN p_partkey % 3 <> 2 THEN split_part(p_name, ' ', 1) END AS word,
+    (SELECT count(*) FROM (VALUES (0), (1), (2)))::INTEGER AS branches FROM part""",
+)
+def parse_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in which no token is in nearly all and none makes an array: branches by their first tokens."""
+    third = F.col("p_partkey") % 3
+    line = F.when(third == 0, F.concat_ws(" ", "p_size", "p_name")).when(third == 1, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    lines = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), line.alias("line"))
+    learned = api.infer(lines, order="k")
+    cols = _columns(learned.schema)
+    ints, words = ([c for c, t in cols if t == kind] for cols, kind in ((list(cols), T.IntegerType()), (list(_columns(learned.schema)), T.StringType())))
+    parsed = learned.parse(lines)[0]
+    return parsed.select("k", F.coalesce(*(F.col(f"parsed.{c}") for c in ints)).alias("number"), F.coalesce(*(F.col(f"parsed.{c}") for c in words)).alias("word"), F.lit(len(learned.root.children)).alias("branches"))
+
+
+@_query("line_numbers", "SELECT event_id AS line_no, event_id::VARCHAR || ' ' || event_type AS line FROM events")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of several files are numbered from 0 in the order of the files."""
+    folder = _folder(spark)
+    rows = _read(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_id", "event_type").alias("line"))
+    first = rows.agg(F.min("event_id")).first()[0]
+    rows.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select("line").write.text(f"{folder}/in")
+    return text.read_lines(spark, f"{folder}/in").select((F.col("line_no") + first).alias("line_no"), "line")
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the place that the cluster shares."""
+    """A new folder in the place that the cluster shares; on a single machine its own."""
     import tempfile
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loglathe-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loglathe-checkpoint-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -500,14 +579,27 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.contents(spark, folder)
 
 
-@_query("suggest_topk")
+@_query(
+    "suggest_topk",
+    """WITH m AS (SELECT abs((SELECT avg(s_nationkey) FROM supplier) - (SELECT avg(c_nationkey) FROM customer)) AS d)
+SELECT 'customer' AS info, 4 * 0.5::DOUBLE AS distance, 6 AS n_ops
+UNION ALL SELECT 'supplier', round(3 * 0.5 + d + 1000, 4), 6 FROM m
+UNION ALL SELECT 'events', 4 * 0.5 + 3 * 1000, 8""",
+)
 def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest of all tables' schemas to customers with fields of no name."""
+    """The three nearest of all tables' schemas to customers with fields of no name.
+
+    A field that matches costs 0.5, or for ints the distance of the means; one too many or too few costs 1000.
+    """
     anonymous = _read(spark, sf_dir, "customer").toDF("a", "b", "c", "d", "e")
     return dictionary.suggest(_dictionary(spark, sf_dir), anonymous, 3).select("info", F.round("distance", 4).alias("distance"), F.size("ops").alias("n_ops"))
 
 
-@_query("suggest_report")
+@_query(
+    "suggest_report",
+    """SELECT 'customer' AS info, 2.0::DOUBLE AS distance, 'rename' AS section, 'root' || s AS source, 'root' || t AS target
+FROM (VALUES ('', ''), ('.a', '.c_custkey'), ('.b', '.c_name'), ('.c', '.c_nationkey'), ('.d', '.c_acctbal'), ('.e', '.c_mktsegment')) v(s, t)""",
+)
 def suggest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     anonymous = _read(spark, sf_dir, "customer").toDF("a", "b", "c", "d", "e")
     return dictionary.report(dictionary.suggest(_dictionary(spark, sf_dir), anonymous, 1))

@@ -18,8 +18,10 @@ def write_stream(parsed: DataFrame, out: str, checkpoint: str, available_now: bo
     """Parquet files of accepted lines under <out>/data and of rejected ones under <out>/rejects, exactly once."""
 
     def batch(df: DataFrame, n: int) -> None:
+        df = df.persist()  # parsed once for both
         df.where("parsed is not null").write.mode("overwrite").parquet(f"{out}/data/batch={n}")
         df.where("parsed is null").drop("parsed", "parsed_branch").write.mode("overwrite").parquet(f"{out}/rejects/batch={n}")
+        df.unpersist()
 
     writer = parsed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
