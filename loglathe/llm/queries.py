@@ -63,12 +63,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, formatted and read back from the formatted strings.
 
-    A conversation is a record in the messages layout; its rows by turn, ties by role and text.
+    A conversation is a record in the messages layout; its rows by turn, ties by role and text. The added
+    conversation -1 is one of its own, beside any that the table has under that id.
     """
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     hard = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("content"))
-    records = rows.unionByName(extra).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    records = rows.withColumn("added", F.lit(False)).unionByName(extra.withColumn("added", F.lit(True))).groupBy("conv_id", "added").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
     # as structs: the layout is found by their fields, and texts of any length stay out of JSON
     records = records.select("conv_id", F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
     chats = records.select("conv_id", chat_format.struct_turns(records, "record").alias("turns"))
@@ -233,9 +234,9 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, arra
 FROM z JOIN sh USING (rank, block)""",
     "op8_chat_format": r"""
 WITH r AS (
-    SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    SELECT conv_id, false AS added, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, true, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, true, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
     SELECT *, regexp_replace(replace(text, '\', '\\'),
         '([<\[])(\|im_start\|>|\|im_end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>)', '\1\\\2', 'g') AS esc
@@ -246,7 +247,7 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(12 + length(role) + 1 + length(esc) + 11)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id""",
+FROM e GROUP BY conv_id, added""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
