@@ -8,7 +8,9 @@ insults join them. A hit inside an exception phrase doesn't count. The score is
 the weighted hits, normalised by the square root of the text's length.
 
 Defined cases: null and empty texts score as texts without hits; without labels only the fixed entries
-hold, with fixed coefficients; texts are scored whole.
+hold, with fixed coefficients; texts are scored whole at any length. A document that is labelled more
+than once is toxic if any label says so; rows that share an id are rows of their own with its label.
+Empty tables give empty results; columns named as an added one are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -24,14 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, claim
+from .common import bound_batches, claim, ensure_checkpoint_dir
 
 #: Labelled rows that the lexicon and the two coefficients are fitted on, at most; chosen by a hash.
 MAX_TRAIN = 12_000
-#: Learned entries at most; more would not help on labels of this number.
-MAX_ENTRIES = 4_000
-#: Patterns of toxic rows that are counted in the other rows, those in most families.
-MAX_CANDIDATES = 100_000
 #: Beginnings of words, in letters.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: An entry needs so many toxic families of rows, such a share of all toxic ones, and so high a z-score
@@ -197,9 +195,9 @@ def closed(found: dict[str, tuple[float, int]]) -> dict[str, float]:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> Lexicon:
     """The lexicon of at most max_train labelled rows, those with the least hashes of the key.
 
-    labels: (key, label) with label 0 or 1; null labels take no part.
+    labels: (key, label) with label 0 or 1; null labels take no part, and of several of one key the largest counts.
     """
-    picked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    picked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null").groupBy("k").agg(F.max("y").alias("y"))
     picked = picked.orderBy(F.xxhash64("k"), "k", "y").limit(max_train)
     train = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("t", "y")  # at most max_train rows
 
@@ -221,10 +219,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
         return rows.mapInPandas(run, "f string, family long").distinct().groupBy("f").agg(F.count(F.lit(1)).alias("n"))
 
-    bad = families(train.where("y = 1").select("t"), None).where(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()
-    n_bad = next((r["n"] for r in bad if r["f"] == ""), 0)
-    least = max(MIN_SUPPORT, SUPPORT_SHARE * n_bad)
-    candidates = {r["f"]: r["n"] for r in bad if r["f"] and r["n"] >= least}
+    ensure_checkpoint_dir(docs.sparkSession)
+    bad = families(train.where("y = 1").select("t"), None).where((F.col("n") >= MIN_SUPPORT) | (F.col("f") == "")).checkpoint()
+    n_bad = next((r["n"] for r in bad.where("f = ''").collect()), 0)
+    # what so many of at most max_train rows hold is bounded by what one of them holds, some hundreds of times
+    candidates = {r["f"]: r["n"] for r in bad.where((F.col("f") != "") & (F.col("n") >= max(MIN_SUPPORT, SUPPORT_SHARE * n_bad))).collect()}
     good = {r["f"]: r["n"] for r in families(train.where("y = 0").select("t"), frozenset(candidates)).collect()}  # no more than the candidates
     n_good = good.get("", 0)
     if not n_bad or not n_good:
@@ -236,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         z = w / math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5))
         if z >= MIN_Z and x >= MIN_SHARE * (x + y):
             found.append((-z, f, w, x))
-    entries = closed({f: (w, x) for _, f, w, x in sorted(found)[:MAX_ENTRIES]})
+    entries = closed({f: (w, x) for _, f, w, x in sorted(found)})
     entries = default_entries(max(entries.values(), default=3.0)) | entries
     fixed = Lexicon(entries, EXCEPTIONS)
 

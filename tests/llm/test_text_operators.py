@@ -234,6 +234,21 @@ def test_scores_of_hard_rows(spark, docs):
     assert toxicity.scored(docs.limit(0), none).count() == 0
 
 
-def test_op9_reads_every_document(spark, sf):
-    rows = QUERIES["op9_toxicity"](spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+def test_contradicting_labels_and_shared_ids(spark):
+    docs, labels = labelled(spark, 300)
+    other = labels.where("toxic = 1").select("doc_id", F.lit(0).alias("toxic"))
+    again = docs.unionByName(docs.limit(10)).unionByName(spark.createDataFrame([(1, None), (None, "x")], "doc_id long, text string"))
+    one = {(r.doc_id, r.text): r.score for r in toxicity.scored(docs, labels).collect()}
+    two = toxicity.scored(again, labels.unionByName(other).unionByName(labels.limit(50))).collect()
+    assert len(two) == 312 and all(0 <= r.score <= 1 for r in two)
+    assert sum(abs(one[r.doc_id, r.text] - r.score) < 0.2 for r in two if (r.doc_id, r.text) in one) >= 300
+
+
+def test_op9_on_the_given_labels(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.1")
+    rows = QUERIES["op9_toxicity"](spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
+    hits = sum(p and t for p, t in held)
+    assert len(held) > 500 and hits >= 0.9 * sum(t for _, t in held) and hits >= 0.9 * sum(p for p, _ in held)
