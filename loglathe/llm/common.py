@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the operators' word rule, `[^\x20\x09-\x0D]+` being a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -38,10 +39,13 @@ def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the session names; one of its own only where none is set."""
+    """Uses the shared folder that the session names. Without one there is none but on a single machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loglathe-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loglathe-checkpoint-"))
 
 
 @contextmanager
@@ -97,28 +101,55 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A checkpointed table with narrow rows; hinted for broadcast only if its counted rows are few.
+#: What a table that is broadcast may hold, by the estimate of `estimated_bytes`.
+BROADCAST_BYTES = 16 * 2**20
 
-    With more, joins with it shuffle.
-    """
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of a table's values: 8 for each number and row, arrays by their elements, strings by their length."""
+
+    def width(c: str, kind: T.DataType) -> Column:
+        at = F.col(f"`{c}`")
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(at), F.lit(0)) * 8
+        return F.coalesce(F.octet_length(at), F.lit(0)) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(8)
+
+    each = sum((width(f.name, f.dataType) for f in df.schema.fields), F.lit(8))
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
+def small_or_shuffled(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A checkpointed table; hinted for broadcast only if its bytes are few. With more, joins with it shuffle."""
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint()
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
+
+
+#: Groups that `join_groups` broadcasts at most, the largest of those with enough rows.
+HOT_GROUPS = 100_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], hot: int = 1000, how: str = "inner") -> DataFrame:
     """rows joined with one row a group, where a few groups may hold most of the rows.
 
-    Groups of `hot` rows or more are joined by broadcast if they are few; in the shuffle for the others
-    their rows are spread by a hash of the columns `spread`. `how`: inner or left.
+    Groups of `hot` rows or more are joined by broadcast, of more than `HOT_GROUPS` the largest, so what is
+    left of them has hardly more than an even share of the rows; in the shuffle for the others their rows are
+    spread by a hash of the columns `spread`. groups have narrow columns. `how`: inner or left.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     groups = groups.checkpoint()
     big = groups.where(F.col(size) >= hot)
-    n = big.limit(100_001).count()
-    if not n or n > 100_000:
+    n = big.count()
+    if not n:
         return rows.join(groups, keys, how)
+    if n > HOT_GROUPS:
+        hot = max(hot, int(big.select(F.percentile_approx(size, 1 - HOT_GROUPS / n)).first()[0]) + 1)
+    return join_few_hot(rows, groups, keys, size, spread, hot, how)
+
+
+def join_few_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], hot: int, how: str = "inner") -> DataFrame:
+    """What `join_groups` gives, where no more than `HOT_GROUPS` groups have `hot` rows for sure."""
+    big = groups.where(F.col(size) >= hot)
     added = [c for c in groups.columns if c not in keys]
     names = {c: f"__group_{i}" for i, c in enumerate([*keys, *added])}
     early = {c: f"__hot_{i}" for i, c in enumerate(added)}
