@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon learned from the labels doesn't call toxic."""
     rows, back = set_aside(docs, toxicity.ADDED)
     scored = toxicity.scored(rows, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 0).withColumnsRenamed(back).select(*docs.columns)
+    return scored.where(F.col("predicted") == 0).drop(*toxicity.ADDED).withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
