@@ -13,9 +13,13 @@ verified on their full sets. No bucket's pairs are all listed:
    full sets. Whatever pair of two components passes the signatures is verified there unless the two
    have been joined already, so no link between components is missed.
 
-Components are found by distributed stars. Defined cases: texts without words have empty sets, are
-linked with nothing and stay; rows with a null id stay and link nothing; rows that share an id share
-its fate only if their sets are equal.
+Components are found by distributed stars over the classes, which have numbers of their own, so rows
+that share an id and differ in text are told apart; a component is named by the least id of its rows.
+
+Defined cases: null texts and texts without words have empty sets, are linked with nothing and stay;
+rows with a null id stay and link nothing; of rows that share an id each has its own set's component,
+and all that have the component's id are kept; texts are read whole at any length; an empty table gives
+an empty result; other columns are not read, whatever their names, and `keep_one` passes them on.
 """
 
 from __future__ import annotations
@@ -34,10 +38,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-5
-#: Classes of one block of a bucket.
-BLOCK = 512
-#: Ids that are broadcast to pick candidates' texts, at most (8 MB); with more the texts shuffle.
-BROADCAST_IDS = 500_000
+#: Classes of one block of a bucket, and of a family, whose blocks carry full sets: smaller ones copy them more often.
+BLOCK, FAMILY_BLOCK = 512, 512
 #: Rows with full sets that a Python worker gets at once.
 WIDE_ROWS = 1000
 #: Shingles that are permuted at once.
@@ -133,7 +135,7 @@ def survivors(a: np.ndarray, b: np.ndarray, need: dict[int, int]) -> tuple[np.nd
 
 
 def features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, set_key, sig, bands) of every row; the last three null for empty sets."""
+    """(id, mark, n_shingles, set_key, sig, bands) of every row; mark: a hash of the text; the last three null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -142,18 +144,18 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
         shingle = Shingler()
         for batch in batches:
             out = []
-            for i, t in zip(batch["id"], batch["t"], strict=True):
+            for i, m, t in zip(batch["id"], batch["mark"], batch["t"], strict=True):
                 s = shingle(t)
                 if len(s):
                     sig = signature(s)
-                    out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()), (sig & 0xFFFF).astype(np.uint16).tobytes(), band_keys(sig)))
+                    out.append((i, m, len(s), xxhash.xxh3_128_digest(s.tobytes()), (sig & 0xFFFF).astype(np.uint16).tobytes(), band_keys(sig)))
                 else:
-                    out.append((i, 0, None, None, None))
-            df = pd.DataFrame(out, columns=["id", "n_shingles", "set_key", "sig", "bands"])
+                    out.append((i, m, 0, None, None, None))
+            df = pd.DataFrame(out, columns=["id", "mark", "n_shingles", "set_key", "sig", "bands"])
             yield df.astype({"id": "Int64"})
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInPandas(run, "id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("t"))
+    return rows.mapInPandas(run, "id long, mark long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def _matrix(sigs) -> np.ndarray:
@@ -197,16 +199,20 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "u long, v long")
 
 
-def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, shingles as sorted 64-bit hashes) of the rows with the ids."""
+def _sets(docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFrame:
+    """(id, shingles as sorted 64-bit hashes) of the classes (id, rep, set_key); rep: the id of one of its rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         shingle = Shingler()
         for x in batches:
-            yield pd.DataFrame({"id": x["id"], "shingles": [shingle(t).tobytes() for t in x["t"]]})
+            found = [shingle(t).tobytes() for t in x["t"]]
+            yield pd.DataFrame({"set_key": [xxhash.xxh3_128_digest(b) for b in found], "rep": x["rep"], "shingles": found})
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    return rows.join(small_or_shuffled(ids, BROADCAST_IDS), "id", "left_semi").mapInPandas(run, "id long, shingles binary")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("t"))
+    found = rows.join(small_or_shuffled(classes.select("rep").distinct()), "rep", "left_semi").mapInPandas(run, "set_key binary, rep long, shingles binary")
+    return found.join(classes, ["set_key", "rep"]).select("id", "shingles").dropDuplicates(["id"])
 
 
 class _Forest(dict):
@@ -226,17 +232,17 @@ class _Forest(dict):
         return x != y
 
 
-def _dealt(rows: DataFrame, group: str) -> DataFrame:
+def _dealt(rows: DataFrame, group: str, size: int) -> DataFrame:
     """rows (group, id, comp, ...) of groups that hold several components, dealt into blocks (group, t, q).
 
     Every row is a target in one block of targets, and those outside the group's largest component are
-    queries in one block of queries; all blocks of the two kinds meet.
+    queries in one block of queries; all blocks of the two kinds meet. A block has about `size` of each.
     """
     by_comp = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n"))
     main = by_comp.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    main = main.select(group, F.col("x.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nt"), F.ceil((F.col("all") - F.col("x.n")) / BLOCK).cast("int").alias("nq"))
+    main = main.select(group, F.col("x.comp").alias("main"), F.ceil(F.col("all") / size).cast("int").alias("nt"), F.ceil((F.col("all") - F.col("x.n")) / size).cast("int").alias("nq"))
+    own = rows.columns
     rows = rows.join(main, group)
-    own = [c for c in rows.columns if c not in ("main", "nt", "nq")]
     spot = F.xxhash64("id")
     as_t = rows.select(*own, F.lit(False).alias("query"), F.pmod(spot, "nt").cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
     as_q = rows.where("comp <> main").select(*own, F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), F.pmod(spot, "nq").cast("int").alias("q"))
@@ -266,7 +272,7 @@ def _families(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFram
     A block gives a forest of its surviving pairs, so no more edges than it has rows.
     """
     rows = buckets.join(comps, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    blocks = _dealt(rows.join(sigs.select("id", "sig"), "id"), "bucket")
+    blocks = _dealt(rows.join(sigs.select("id", "sig"), "id"), "bucket", BLOCK)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need = least_matches()
@@ -296,13 +302,15 @@ def _families(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFram
                         settle()
                     continue
                 qs, ts = np.flatnonzero(query[s:e]) + s, np.flatnonzero(~query[s:e]) + s
-                tree = _Forest()
+                root = ids.copy()  # of each id the tree that it is in so far
                 for i in qs.tolist():
-                    me = tree.top(int(ids[i]))
-                    apart = np.array([comp[j] != comp[i] and tree.top(int(ids[j])) != me for j in ts.tolist()])
-                    js = ts[apart]
+                    js = ts[(comp[ts] != comp[i]) & (root[ts] != root[i])]
                     at, _ = survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], need)
-                    out.extend((int(ids[i]), int(ids[j])) for j in js[at].tolist() if tree.join(int(ids[i]), int(ids[j])))
+                    for j in js[at].tolist():
+                        if root[i] != root[j]:
+                            here = root[s:e]
+                            here[here == root[j]] = root[i]
+                            out.append((int(ids[i]), int(ids[j])))
             settle()
             yield pd.DataFrame(out, columns=["u", "v"])
 
@@ -316,7 +324,7 @@ def _links_across(families: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
     full sets; pairs pass the signatures first and are verified where they meet.
     """
     rows = families.join(comps.withColumnRenamed("component", "comp"), "node", "left").select("family", F.col("node").alias("id"), F.coalesce("comp", "node").alias("comp"))
-    blocks = _dealt(rows.join(sigs.select("id", "sig"), "id").join(sets, "id"), "family")
+    blocks = _dealt(rows.join(sigs.select("id", "sig"), "id").join(sets, "id"), "family", FAMILY_BLOCK)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need = least_matches()
@@ -331,35 +339,37 @@ def _links_across(families: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
             out: list[tuple[int, int]] = []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 qs, ts = np.flatnonzero(query[s:e]) + s, np.flatnonzero(~query[s:e]) + s
-                tree = _Forest()
+                root = comp.copy()  # of each component the one that it is joined with so far
                 for i in qs.tolist():
-                    me = tree.top(int(comp[i]))
-                    js = ts[np.array([tree.top(int(comp[j])) != me for j in ts.tolist()], bool)]
+                    js = ts[root[ts] != root[i]]
                     at, got = survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], need)
                     for j in js[at[np.argsort(-got, kind="stable")]].tolist():
-                        if tree.top(int(comp[i])) != tree.top(int(comp[j])) and _linked(sets_[i], sets_[j]):
-                            tree.join(int(comp[i]), int(comp[j]))
+                        if root[i] != root[j] and _linked(sets_[i], sets_[j]):
+                            here = root[s:e]
+                            here[here == root[j]] = root[i]
                             out.append((int(ids[i]), int(ids[j])))
             yield pd.DataFrame(out, columns=["u", "v"])
 
     return blocks.mapInPandas(run, "u long, v long")
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs."""
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs; if marked, with mark, the xxhash64 of the text."""
     ensure_checkpoint_dir(docs.sparkSession)
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
         feats = features(docs, key, text).checkpoint()
     real = feats.where(F.col("set_key").isNotNull() & F.col("id").isNotNull())
-    classes = real.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
-    own = real.join(classes.select(F.col("set_key").alias("k"), "rep"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("k"))).dropDuplicates(["id"])
+    every = real.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # classes have numbers of their own, as two of them may share an id; written, so that they stay
+    own = every.withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    classes = own.select("set_key", "rep", "n_rows", "id")
     bands = own.select("id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = bands.join(shared, "bucket").select("bucket", "id", "n").checkpoint()
+    buckets = bands.join(shared, "bucket").checkpoint()
     ids = buckets.groupBy("id").agg(F.sum("n").alias("degree")).checkpoint()
     sigs = own.join(ids, "id", "left_semi").select("id", "sig").checkpoint()
     with arrow_rows(docs.sparkSession, WIDE_ROWS):
-        sets = _sets(docs, key, text, ids.select("id")).dropDuplicates(["id"]).checkpoint()
+        sets = _sets(docs, key, text, classes.join(ids, "id", "left_semi").select("id", "rep", "set_key")).checkpoint()
     # 1: one pivot for each class
     ranked = buckets.join(ids, "id")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("o"))).alias("p")).select("bucket", (-F.col("p.o")).alias("b"))
@@ -376,13 +386,17 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     with arrow_rows(docs.sparkSession, WIDE_ROWS):
         edges = edges.union(_links_across(families, comps, sigs, sets).checkpoint())
     comps = components(edges)
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", "n_rows", F.coalesce("component", "rep").alias("component_id"))
-    out = join_groups(feats.select("id", "n_shingles", "set_key"), named, ["set_key"], "n_rows", ["id"], how="left")
+    held = classes.join(comps, F.col("id") == F.col("node"), "left").select("set_key", "rep", "n_rows", F.coalesce("component", "id").alias("component"))
+    least = held.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = held.join(least, "component").select("set_key", "n_rows", "component_id")
+    out = join_groups(feats.select("id", "mark", "n_shingles", "set_key"), named, ["set_key"], "n_rows", ["id"], how="left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", *(["mark"] if marked else []), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those whose component has a smaller id."""
-    gone = small_or_shuffled(cluster(docs, key, text).where("not kept").select(F.col("id").alias(free_name(docs, "gone"))).distinct(), BROADCAST_IDS)
-    return docs.join(gone, F.col(f"`{key}`").cast("long") == F.col(gone.columns[0]), "left_anti")
+    i, t = (free_name(docs, x) for x in ("id", "text_hash"))
+    found = cluster(docs, key, text, marked=True)
+    gone = small_or_shuffled(found.where("not kept").select(F.col("id").alias(i), F.col("mark").alias(t)).distinct())
+    return docs.join(gone, (F.col(f"`{key}`").cast("long") == F.col(i)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(t)), "left_anti")

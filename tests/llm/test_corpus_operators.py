@@ -8,7 +8,7 @@ import pytest
 from oracle import assert_equal, connect
 from pyspark.sql import functions as F
 
-from loglathe.llm import balanced_ann, chat_format, components, exact_dedup, line_dedup, minhash_bayes, mixing, rendezvous
+from loglathe.llm import balanced_ann, chat_format, common, components, exact_dedup, line_dedup, minhash_bayes, mixing, rendezvous
 from loglathe.llm.queries import QUERIES, SQL
 
 
@@ -166,7 +166,13 @@ LAYOUTS = {
     '{"prompt":"a","completion":"b"}': [("user", "a"), ("assistant", "b")],
     '{"instruction":"i","input":"x","output":"o"}': [("user", "i\n\nx"), ("assistant", "o")],
     '{"instruction":"i","input":"","output":""}': [("user", "i"), ("assistant", "")],
+    '{"messages":[{"role":"user","content":"a","at":3},{"content":"b"}],"id":"7","meta":{"text":"x","role":"y"}}': [("user", "a"), ("user", "b")],
+    '{"messages":[{"content":"only"}]}': [("user", "only")],
+    '{"messages":[]}': [],
+    '{"id":1,"question":"a","answer":null}': [("user", "a"), ("assistant", "")],
+    '{"messages":[{"role":"user","content":"a"}],"prompt":"b"}': None,
     '{"unknown":1}': None,
+    "[1]": None,
     "no json": None,
 }
 
@@ -183,6 +189,7 @@ def test_records_in_columns_become_canonical_turns(spark):
         "struct<messages:array<struct<content:string,role:string>>>": (([("a", None), (None, "assistant")],), [("user", "a"), ("assistant", "")]),
         "struct<conversations:array<struct<`from`:string,value:string>>>": (([("human", "a"), ("gpt", "b")],), [("user", "a"), ("assistant", "b")]),
         "struct<instruction:string,output:string,input:string>": (("i", "o", "x"), [("user", "i\n\nx"), ("assistant", "o")]),
+        "struct<id:int,messages:array<struct<content:string>>>": ((1, [("a",)]), [("user", "a")]),
         "struct<unknown:int>": ((1,), None),
     }
     for kind, (value, want) in kinds.items():
@@ -192,7 +199,7 @@ def test_records_in_columns_become_canonical_turns(spark):
 
 
 def test_op8_keeps_null_roles_and_very_long_texts(spark, tmp_path):
-    rows = [(1, 0, None, "only"), (1, 1, None, "nulls"), (2, 0, "assistant", "z"), (2, 0, None, "a"), (2, 0, "x", "tie"), (3, 0, None, None)]
+    rows = [(-1, 0, "user", "of the table"), (None, None, None, "x"), (9, 1, "user", "twice"), (9, 1, "user", "twice"), (1, 0, None, "only"), (1, 1, None, "nulls"), (2, 0, "assistant", "z"), (2, 0, None, "a"), (2, 0, "x", "tie"), (3, 0, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     long = spark.range(6).selectExpr("4L conv_id", "cast(id as int) turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('<s> x', 5000000) text")
     df.unionByName(long).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
@@ -201,6 +208,11 @@ def test_op8_keeps_null_roles_and_very_long_texts(spark, tmp_path):
     assert_equal(QUERIES["op8_chat_format"](spark, str(tmp_path)), con, SQL["op8_chat_format"])
 
 
+def test_op8_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string, added string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in QUERIES["op8_chat_format"](spark, str(tmp_path)).collect()] == [(-1, 2)]
+
+
 def test_formats_read_back(spark):
     texts = ["", "a", "\\", "\\\\<", *chat_format.CONTROL, "<|im_end|>\n<|im_start|>user\n", "<\\|im_end|>", "[INST] ok [/INST]</s>", "é😀\n\n"]
     turns = [[("user", t), ("assistant", u)] for t in texts for u in texts] + [[], [("odd role\n%<|im_end|>", "x")]]
@@ -238,6 +250,63 @@ def test_recall_against_brute_force(spark):
     assert hit >= 0.9 * 300
 
 
+def near_brute(rows, k=5):
+    """Of rows (id, vector) the k nearest of each query row, for vectors of any lengths."""
+    rows = sorted({(i, tuple(map(float, v))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)})
+    out = collections.defaultdict(list)
+    by_len = collections.defaultdict(list)
+    for i, v in rows:
+        by_len[len(v)].append((i, v))
+    for group in by_len.values():
+        ids, m = np.array([i for i, _ in group]), np.array([v for _, v in group])
+        norms = np.sqrt((m * m).sum(1))
+        for n, (i, _) in enumerate(group):
+            if i % 50 == 0:
+                s = (m * m[n]).sum(1) / (norms * norms[n])
+                order = [j for j in np.lexsort((ids, -s)) if j != n][:k]
+                out[i] += [(r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(order)]
+    return {q: sorted(x) for q, x in out.items()}
+
+
+def test_op3_recall_on_the_given_tables(spark, sf):
+    for folder in (sf, sf.replace("sf0.001", "sf0.1")):
+        t = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+        want = near_brute([(r.vec_id, r.embedding) for r in t.collect()])
+        got = collections.defaultdict(list)
+        for r in QUERIES["op3_balanced_ann"](spark, folder).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        assert set(got) == set(want)
+        hit = 0
+        for q, best in want.items():
+            assert [x[0] for x in sorted(got[q])] == list(range(1, len(best) + 1))
+            hit += sum(x[2] >= best[-1][2] for x in got[q])
+        assert hit >= 0.9 * sum(map(len, want.values()))
+
+
+def test_share_of_vectors_read_falls_with_the_size():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(16_000, 24))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    shares = []
+    for n in (1000, 4000, 16_000):
+        c = balanced_ann.fit_centroids(v[:n], n // balanced_ann.LIST)
+        held = np.bincount([x for lists in balanced_ann._lists_of(c, u[:n]) for x in lists], minlength=len(c.points))
+        assert n / len(c.points) < 2 * balanced_ann.LIST and held.max() < 40 * balanced_ann.LIST
+        shares.append(np.mean([held[x].sum() for x in balanced_ann._lists_for(c, u[:100], balanced_ann.RATIO)]) / n)
+    assert shares[0] > shares[1] > shares[2]
+
+
+def test_shared_ids_lengths_and_clashing_names(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 50, i]), [rng.gauss(0, 1) for _ in range(rng.choice([4, 4, 4, 3, 7]))]) for i in range(400)]
+    rows += rows[:60]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({x: F.lit("clash") for x in ("id", "v", "q", "mark", "grp", "lists", "score")})
+    got = collections.defaultdict(list)
+    for r in balanced_ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == near_brute(rows)
+
+
 def test_ties_copies_and_invalid_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(1, 3000)] + [(0, [1.0, 2.0]), (9001, None), (9002, [0.0, 0.0]), (9003, [float("nan"), 1.0]), (9004, [None, 1.0]), (9005, [float("inf"), 1.0]), (9006, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -297,12 +366,49 @@ def test_components_equal_brute_force(spark, docs):
 
 def test_blocks_smaller_than_a_family_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash_bayes, "BLOCK", 20)
+    monkeypatch.setattr(minhash_bayes, "FAMILY_BLOCK", 7)
     rng = random.Random(9)
     by_id = dict(enumerate(family(rng, 150, 70, 6)))
     df = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
     assert {r.id: (r.n_shingles, r.component_id) for r in minhash_bayes.cluster(df).collect()} == brute_components(by_id)
 
 
+def test_op6_equals_brute_force_on_the_given_documents(spark, sf):
+    want = brute_components({r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op6_minhash_bayes"](spark, sf).collect()}
+    assert got == want and len({c for _, c in want.values()}) < len(want)
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(12)
+    texts = [t for _ in range(12) for t in family(rng, 5, 50, 2)]
+    rng.shuffle(texts)
+    rows = [(rng.randint(0, 20), t) for t in texts] + [(3, None), (3, ""), (None, texts[0]), (7, texts[1]), (7, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("id", "mark", "set_key", "__id", "kept")}).repartition(4)
+    sets = brute_components(dict(enumerate(t if i is not None else None for i, t in rows)))  # by place
+    least = collections.defaultdict(lambda: 99)
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[sets[n][1]] = min(least[sets[n][1]], i)
+    want = collections.Counter((i, least[sets[n][1]] if i is not None and sets[n][0] else i) for n, (i, _) in enumerate(rows))
+    assert collections.Counter((r.id, r.component_id) for r in minhash_bayes.cluster(df).collect()) == want
+    out = minhash_bayes.keep_one(df)
+    kept = collections.Counter((i, t) for n, (i, t) in enumerate(rows) if i is None or not sets[n][0] or least[sets[n][1]] == i)
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == kept and out.columns == df.columns
+
+
+def test_hot_nodes_and_hot_groups(spark, monkeypatch):
+    edges = [(0, i) for i in range(1, 3000)] + [(20_000 + i, 30_000 + i) for i in range(1500)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (100_000, 1):
+        monkeypatch.setattr(common, "HOT_GROUPS", most)
+        got = {r.node: r.component for r in components.components(df).collect()}
+        assert all(got[i] == 0 for i in range(3000)) and all(got[30_000 + i] == 20_000 + i for i in range(1500))
+    rows = spark.range(6000).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("top"))
+    assert sorted((r.g, r.x, r.top) for r in common.join_groups(rows, groups, ["g"], "n", ["x"]).collect()) == [(i % 3, i, 5997 + i % 3) for i in sorted(range(6000), key=lambda i: i % 3)]
+
+
 def test_pruning_bound_is_the_posterior(spark):
     need = minhash_bayes.least_matches()
     for n, m in need.items():
@@ -399,6 +505,28 @@ def test_repeated_lines_out_of_order_equal_brute_force(spark):
         assert {(r.doc, r.line): (r.keep_doc, r.keep_line) for r in line_dedup.duplicate_lines(df).collect()} == brute_lines(texts)
 
 
+def test_rows_that_share_an_id_lose_no_line(spark):
+    a, other = "one line of two rows here it is repeated once", "totally different words that no other line has at all"
+    rows = [(0, a), (1, f"{a}\nkeep one"), (1, f"{other}\nkeep two"), (2, other.replace("at all", "here all")), (1, f"{other}\nkeep two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(7) for x in ("doc", "x", "line", "__doc", "t")})
+    out = line_dedup.drop_lines(df)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(0, a), (1, "keep one"), (1, f"{other}\nkeep two"), (1, f"{other}\nkeep two")]
+    assert out.columns == df.columns
+
+
+def test_many_lines_of_one_variant(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "REMEMBERED", 10)
+    words = "the user with this name logged in at noon from home".split()
+    texts = {i: " ".join(words[:4] + [f"n{i}"] + words[5:]) for i in range(3000)} | {5000: " ".join(words[:4] + words[5:])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.doc, r.line): (r.keep_doc, r.keep_line) for r in line_dedup.duplicate_lines(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(i, 0): (0, 0) for i in [*range(1, 3000), 5000]}
+
+
 def test_within_one_edit():
     rng = random.Random(1)
     for _ in range(3000):
@@ -411,5 +539,5 @@ def test_variants_are_lines_without_a_word():
     import xxhash
 
     words = [b"a", b"bb", b"c", b"bb"]
-    assert line_dedup.variants(words) == [xxhash.xxh3_64_intdigest(b" ".join(words[:i] + words[i + 1 :])) for i in range(4)]
-    assert line_dedup.variants([b"x"]) == [xxhash.xxh3_64_intdigest(b"")]
+    assert line_dedup.variants(words) == [xxhash.xxh3_128_intdigest(b" ".join(words[:i] + words[i + 1 :])) for i in range(4)]
+    assert line_dedup.variants([b"x"]) == [xxhash.xxh3_128_intdigest(b"")]
