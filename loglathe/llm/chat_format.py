@@ -12,11 +12,13 @@ and a backslash follows the first character of every control string, so no text
 start another, and `unescape` gives the text back. The loss mask is a list of (start, length) spans in
 code points over the formatted string, one for each assistant text.
 
-`struct_turns` does the same for records in columns: their schema alone is fingerprinted and texts come
-from the columns, so neither the length of a text nor a null changes the layout.
+`struct_fingerprint` and `struct_turns` do the same for records in columns, each record by the fields that it
+has, so one column holds records of many layouts; texts come from the columns and never pass a JSON parser.
+A null there is a field that the record lacks; a record whose own fields are no layout has that of its schema.
 
-Defined cases: null texts are empty, null roles are `user`, also where no turn has a role; records of an
-unknown layout give null turns and keep their fingerprint, by which they can be counted; empty lists of
+Defined cases: null texts are empty, null roles are `user`, also where no turn has a role; turns of a layout
+with an order go by it, those without a number last, ties by role and text; null records and those of an
+unknown layout give null turns, the latter keep their fingerprint, by which they can be counted; empty lists of
 turns give no turns, and no turns an empty string; equal rows are formatted each by itself; other columns
 pass, those named as an added one are replaced; empty tables give empty results. JSON strings that Spark's parser
 refuses (a text of over 20 million characters, a variant over its size limit) count as unknown.
@@ -24,7 +26,8 @@ refuses (a text of over 20 million characters, a variant over its size limit) co
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,21 +47,25 @@ ESCAPE_PATTERN = "([<\\[])(\\|im_start\\|>|\\|im_end\\|>|s>|/s>|INST\\]|/INST\\]
 
 @dataclass(frozen=True)
 class Mapping:
-    """messages: path of an array of turns, with its role and text fields; or steps: (role, path) in order."""
+    """messages: path of an array of turns, with its role and text fields; or steps: (role, path) in order.
+
+    order: field of a turn by which an array is sorted; renamed: whether `ROLES` holds.
+    """
 
     name: str
     messages: str = ""
     role: str = "role"
     text: str = "content"
     steps: tuple[tuple[str, str], ...] = ()
-
+    order: str = ""
+    renamed: bool = True
 
     @property
     def layouts(self) -> tuple[tuple[str, ...], ...]:
         """The sets of field paths, sorted, that records of this layout have."""
         if self.messages:
             at = f"{self.messages}[]."
-            return tuple(sorted({self.messages, at + self.role, at + self.text})), tuple(sorted({self.messages, at + self.text})), (self.messages,)
+            return tuple(sorted({self.messages, at + self.role, at + self.text})), (self.messages, at + self.text), (self.messages, at + self.role), (self.messages,)
         return (tuple(sorted(path for _, path in self.steps)),)
 
 
@@ -73,6 +80,8 @@ MAPPINGS = (
     Mapping("instruction_output", steps=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction_input", steps=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("system_instruction", steps=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    # the gathered rows of a table with a turn a row
+    Mapping("table_rows", "table_rows", text="text", order="turn", renamed=False),
 )
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
@@ -109,19 +118,38 @@ def _hash(paths: Column) -> Column:
     return F.sha2(F.concat_ws(",", paths), 256)
 
 
+def _digest(paths: Iterable[str]) -> str:
+    """What `_hash` gives, of paths that are known before."""
+    return hashlib.sha256(",".join(paths).encode()).hexdigest()
+
+
+def mapping_of(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
+    """The mappings by the fingerprints of their layouts."""
+    out: dict[str, Mapping] = {}
+    for m in mappings:
+        for paths in m.layouts:
+            out.setdefault(_digest(paths), m)
+    return out
+
+
 def fingerprint(json: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     return _hash(field_paths(json, mappings))
 
 
-def _turn(role: Column, text: Column) -> Column:
-    known = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv)), role), role, F.lit("user"))
-    return F.struct(known.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _turn(role: Column, text: Column, renamed: bool = True) -> Column:
+    known = [F.element_at(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv)), role)] if renamed else []
+    return F.struct(F.coalesce(*known, role, F.lit("user")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _apply(m: Mapping, get: Callable[[str, str], Column]) -> Column:
     """The turns by a mapping; get gives a field of the record by name and type."""
     if m.messages:
-        return F.transform(get(m.messages, f"array<struct<`{m.role}`:string,`{m.text}`:string>>"), lambda x: _turn(x[m.role], x[m.text])).cast(TURNS)
+        found = get(m.messages, "array<struct<" + ",".join(f"`{n}`:string" for n in (m.role, m.text, m.order) if n) + ">>")
+        if m.order:
+            keyed = F.transform(found, lambda x: F.struct(x[m.order].try_cast("decimal(38,9)").alias("at"), _turn(x[m.role], x[m.text], m.renamed).alias("turn")))
+            keyed = F.array_sort(F.transform(keyed, lambda x: F.struct(x["at"].isNull().alias("last"), x["at"].alias("at"), x["turn"].alias("turn"))))
+            return F.transform(keyed, lambda x: x["turn"]).cast(TURNS)
+        return F.transform(found, lambda x: _turn(x[m.role], x[m.text], m.renamed)).cast(TURNS)
     parts = F.array(*(_turn(F.lit(role), get(path, "string")) for role, path in m.steps))
     kept = F.filter(parts, lambda x: (x["role"] == "assistant") | (x["text"] != ""))
     # parts with one role in a row are one turn
@@ -136,42 +164,78 @@ def _apply(m: Mapping, get: Callable[[str, str], Column]) -> Column:
     return merged.cast(TURNS)
 
 
+def _mapped(mark: Column, mappings: tuple[Mapping, ...], get: Callable[[str, str], Column], fields: frozenset[str] | None = None) -> Column:
+    """The turns by the mapping that a fingerprint has, or null; fields: those that records can have at all."""
+    out = F.lit(None).cast(TURNS)
+    known = mapping_of(mappings)
+    for m in mappings:
+        marks = [k for k, v in known.items() if v is m]
+        if marks and (fields is None or fields >= ({m.messages} if m.messages else {path for _, path in m.steps})):
+            out = F.when(mark.isin(*marks), _apply(m, get)).otherwise(out)
+    return out
+
+
 def canonical_turns(json: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """Canonical turns of a JSON record, or null for a layout that no mapping has."""
-    v, mark, out = F.try_parse_json(json), fingerprint(json, mappings), F.lit(None).cast(TURNS)
-    for m in reversed(mappings):
-        known = [_hash(F.array(*map(F.lit, paths))) for paths in m.layouts]
-        out = F.when(mark.isin(*known), _apply(m, lambda name, kind: F.try_variant_get(v, f"$.{name}", kind))).otherwise(out)
-    return out
+    v = F.try_parse_json(json)
+    return _mapped(fingerprint(json, mappings), mappings, lambda name, kind: F.try_variant_get(v, f"$.{name}", kind))
 
 
-def _type_paths(kind: T.DataType, mappings: tuple[Mapping, ...]) -> tuple[str, ...]:
-    """What `field_paths` gives, of a type."""
+def _fields(kind: T.DataType) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+
+
+def _inner_fields(kind: T.DataType) -> tuple[str, ...]:
+    return tuple(_fields(kind.elementType)) if isinstance(kind, T.ArrayType) else ()
+
+
+def _type_paths(kind: T.DataType, mappings: tuple[Mapping, ...]) -> tuple[tuple[str, str], ...]:
+    """The fields of a type that mappings name, each with that of its elements or an empty name, sorted as paths."""
     top, inner = known_paths(mappings)
-    out = set()
-    for f in kind.fields if isinstance(kind, T.StructType) else ():
-        if f.name in top:
-            out.add(f.name)
-        if f.name in inner and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            out |= {f"{f.name}[].{x.name}" for x in f.dataType.elementType.fields if x.name in inner[f.name]}
-    return tuple(sorted(out))
+    fields = {k: v for k, v in _fields(kind).items() if k in top}
+    return tuple(sorted(((k, n) for k, v in fields.items() for n in ("", *(inner.get(k, frozenset()) & set(_inner_fields(v))))), key=_path))
+
+
+def _path(field: tuple[str, str]) -> str:
+    return f"{field[0]}[].{field[1]}" if field[1] else field[0]
+
 
+def struct_paths(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """What `field_paths` gives, of each record in a column of structs by its values that aren't null."""
+    at = F.col(f"`{record}`")
 
-def struct_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Canonical turns of a column of structs, or null for a layout that no mapping has."""
-    mark, at = _type_paths(df.schema[record].dataType, mappings), F.col(f"`{record}`")
+    def has(name: str, inside: str) -> Column:
+        return F.exists(at[name], lambda x: x[inside].isNotNull()) if inside else at[name].isNotNull()
+
+    paths = F.array(*(F.when(has(*p), F.lit(_path(p))) for p in _type_paths(df.schema[record].dataType, mappings)))
+    return F.when(at.isNotNull(), F.array_compact(paths.cast("array<string>")))
+
+
+def struct_fingerprint(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The fingerprint of each record in a column of structs; null for null records."""
+    own, known = _hash(struct_paths(df, record, mappings)), mapping_of(mappings)
+    of_schema = _digest(map(_path, _type_paths(df.schema[record].dataType, mappings)))
+    mark = F.when(own.isin(*known), own).otherwise(F.lit(of_schema)) if of_schema in known else own
+    return F.when(F.col(f"`{record}`").isNotNull(), mark)
+
+
+def struct_turns(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPINGS, mark: Column | None = None) -> Column:
+    """Canonical turns of a column of structs, each by its fingerprint, or null for a layout that no mapping has.
+
+    mark: a column with what `struct_fingerprint` gave, so that it isn't computed again for each mapping.
+    """
+    at, kinds = F.col(f"`{record}`"), _fields(df.schema[record].dataType)
 
     def get(name: str, kind: str) -> Column:
         if not kind.startswith("array"):
             return at[name].cast(kind)
-        has = {f.name for f in df.schema[record].dataType[name].dataType.elementType.fields}
+        has = _inner_fields(kinds[name])
         wanted = T.DataType.fromDDL(kind).elementType.names
         return F.transform(at[name], lambda x: F.struct(*((x[n].cast("string") if n in has else F.lit(None).cast("string")).alias(n) for n in wanted)))
 
-    for m in mappings:
-        if mark in m.layouts:
-            return _apply(m, get)
-    return F.lit(None).cast(TURNS)
+    # lists of anything but structs hold no turns
+    fields = frozenset(n for n in kinds if n not in known_paths(mappings)[1] or _inner_fields(kinds[n]))
+    return _mapped(struct_fingerprint(df, record, mappings) if mark is None else mark, mappings, get, fields)
 
 
 def escape(text: Column) -> Column:

@@ -63,16 +63,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, formatted and read back from the formatted strings.
 
-    A conversation is a record in the messages layout; its rows by turn, ties by role and text. The added
-    conversation -1 is one of its own, beside any that the table has under that id.
+    Records come in two layouts: the table's rows gathered by conversation, and the added conversation -1 as a prompt
+    with its completion, beside any that the table has under that id. Each record's fingerprint chooses its mapping,
+    which sorts rows by turn, ties by role and text.
     """
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    hard = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("content"))
-    records = rows.withColumn("added", F.lit(False)).unionByName(extra.withColumn("added", F.lit(True))).groupBy("conv_id", "added").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
-    # as structs: the layout is found by their fields, and texts of any length stay out of JSON
-    records = records.select("conv_id", F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
-    chats = records.select("conv_id", chat_format.struct_turns(records, "record").alias("turns"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    hard = F.lit("</s>[INST] ok [/INST]")
+    gathered = rows.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("table_rows"))
+    none = F.lit(None).cast("string")
+    records = gathered.select("conv_id", F.struct("table_rows", none.alias("prompt"), none.alias("completion")).alias("record"))
+    kind = records.schema["record"].dataType["table_rows"].dataType
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.struct(F.lit(None).cast(kind).alias("table_rows"), hard.alias("prompt"), hard.alias("completion")).alias("record"))
+    records = records.unionByName(extra)
+    # in columns, not JSON: texts of any length pass
+    records = records.withColumn("fingerprint", chat_format.struct_fingerprint(records, "record"))
+    chats = records.select("conv_id", chat_format.struct_turns(records, "record", mark=F.col("fingerprint")).alias("turns"))
     done = chat_format.format_chat(chats).select("conv_id", "formatted", "loss_spans")
     back = done.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
     return back.select(

@@ -213,6 +213,47 @@ def test_op8_of_an_empty_table(spark, tmp_path):
     assert [(r.conv_id, r.n_turns) for r in QUERIES["op8_chat_format"](spark, str(tmp_path)).collect()] == [(-1, 2)]
 
 
+def test_each_record_of_a_column_has_the_mapping_of_its_fingerprint(spark):
+    kind = "struct<id:int,messages:array<struct<role:string,content:string,text:string>>,prompt:string,completion:string,instruction:string,output:string,table_rows:array<struct<turn:int,role:string,text:string>>>"
+    empty = dict.fromkeys(("id", "messages", "prompt", "completion", "instruction", "output", "table_rows"))
+    cases = [
+        ({"messages": [("human", "a", None), (None, None, None)]}, [("user", "a"), ("user", "")]),
+        ({"messages": [("assistant", None, "b")], "id": 1}, [("assistant", "b")]),
+        ({"messages": [("assistant", None, None)]}, [("assistant", "")]),
+        ({"prompt": "a", "completion": "b"}, [("user", "a"), ("assistant", "b")]),
+        ({"instruction": "i", "output": "o"}, [("user", "i"), ("assistant", "o")]),
+        ({"table_rows": [(None, "gpt", "z"), (10, "b", "y"), (9, None, "x"), (9, "human", None)]}, [("human", ""), ("user", "x"), ("b", "y"), ("gpt", "z")]),
+        ({"prompt": "a", "output": "b"}, None),
+        ({"id": 1}, None),
+    ]
+    df = spark.createDataFrame([(i, tuple((empty | c).values())) for i, (c, _) in enumerate(cases)] + [(len(cases), None)], f"i int, r {kind}")
+    json = F.to_json("r")
+    rows = df.select("i", chat_format.struct_turns(df, "r").alias("t"), chat_format.struct_fingerprint(df, "r").alias("f"), chat_format.canonical_turns(json).alias("of_json"), chat_format.fingerprint(json).alias("f_json")).orderBy("i").collect()
+    assert rows[-1].t is None and rows[-1].f is None
+    for r, (_, want) in zip(rows, cases):
+        assert (None if r.t is None else [tuple(x) for x in r.t]) == want
+        assert r.t == r.of_json and r.f == r.f_json
+    assert len({r.f for r in rows[:-1]}) == len(cases)
+
+
+@pytest.mark.parametrize("unknown,lost", [("table_rows", {1, 2}), ("prompt_completion", {-1}), ("messages", set())])
+def test_op8_loses_the_records_whose_fingerprint_has_no_mapping(spark, tmp_path, monkeypatch, unknown, lost):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    known = {k: m for k, m in chat_format.mapping_of().items() if m.name != unknown}
+    monkeypatch.setattr(chat_format, "mapping_of", lambda mappings: known)
+    got = {r.conv_id: r.n_turns for r in QUERIES["op8_chat_format"](spark, str(tmp_path)).collect()}
+    assert got == {k: 0 if k in lost else n for k, n in {-1: 2, 1: 2, 2: 1}.items()}
+
+
+def test_op8_keeps_roles_and_puts_rows_without_a_turn_last(spark, tmp_path):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, None, "user", "last"), (2, 10, "assistant", "c"), (2, 9, "user", "a"), (2, 9, "assistant", "b"), (3, 0, "assistant", None), (3, 2**62 + 1, "user", "e"), (3, 2**62, "user", "f")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert_equal(QUERIES["op8_chat_format"](spark, str(tmp_path)), con, SQL["op8_chat_format"])
+
+
 def test_formats_read_back(spark):
     texts = ["", "a", "\\", "\\\\<", *chat_format.CONTROL, "<|im_end|>\n<|im_start|>user\n", "<\\|im_end|>", "[INST] ok [/INST]</s>", "é😀\n\n"]
     turns = [[("user", t), ("assistant", u)] for t in texts for u in texts] + [[], [("odd role\n%<|im_end|>", "x")]]
